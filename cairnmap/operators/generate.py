@@ -24,7 +24,7 @@ def reply_body(raw: Column) -> Column:
 
 def parse_reply(raw: Column, schema: str) -> Column:
     """Reply as a struct, or null when it is not JSON or a field is missing."""
-    fields = T._parse_datatype_string(schema).fieldNames()
+    fields = T.StructType.fromDDL(schema).fieldNames()
     parsed = F.from_json(reply_body(raw), schema)
     complete = F.lit(True)
     for name in fields:
@@ -63,7 +63,7 @@ def attempts(requests: DataFrame, call: Callable[[list[str]], list[str]], schema
     tasks. A reply that does not parse to ``schema`` is asked for again. Store
     the result before deriving from it: replies may differ between calls.
     """
-    kind = T._parse_datatype_string(schema)
+    kind = T.StructType.fromDDL(schema)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
