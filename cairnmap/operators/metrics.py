@@ -90,7 +90,7 @@ def silhouette(assignments: DataFrame, coordinates: DataFrame, block_rows: int =
     points = _weighted_points(assignments, coordinates)
     n_blocks = blocks_for(points, block_rows)
     points = points.withColumn("block", block_of(F.col("point"), n_blocks))
-    left, right = pair_blocks(points, points, n_blocks, keys=["cluster_run_id"])
+    left, right = pair_blocks(points, points, n_blocks)
     tile = ["cluster_run_id", "left_block", "right_block"]
 
     def sums(key, a, b):

@@ -244,13 +244,13 @@ _SCORED = """
         WHERE cluster_id >= 0),
     c0_ AS (SELECT cluster_id, pos, avg(x) AS c, avg(u) AS d FROM m_ GROUP BY 1, 2),
     c_ AS (SELECT cluster_id, pos, d, c / (sqrt(sum(c * c) OVER (PARTITION BY cluster_id)) + 1e-10) AS c FROM c0_),
-    s_ AS (SELECT cluster_run_id, cluster_id, item_id, round(sum(u * c), 9) AS centroid_similarity,
-        round(sum(u * d), 9) AS mean_similarity FROM m_ JOIN c_ USING (cluster_id, pos) GROUP BY 1, 2, 3)"""
+    s_ AS (SELECT cluster_run_id, cluster_id, item_id, sum(u * c) AS centroid_similarity,
+        sum(u * d) AS mean_similarity FROM m_ JOIN c_ USING (cluster_id, pos) GROUP BY 1, 2, 3)"""
 
 _PICKS = """,
-    near_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY centroid_similarity DESC, item_id) AS near FROM s_) WHERE near <= 20),
-    centre_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY mean_similarity DESC, near) AS rank FROM near_) WHERE rank <= 3),
-    edge_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY centroid_similarity, item_id) AS rank
+    near_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(centroid_similarity, 9) DESC, item_id) AS near FROM s_) WHERE near <= 20),
+    centre_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(mean_similarity, 9) DESC, near) AS rank FROM near_) WHERE rank <= 3),
+    edge_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(centroid_similarity, 9), item_id) AS rank
         FROM s_ WHERE item_id NOT IN (SELECT item_id FROM centre_)) WHERE rank <= 2),
     picks_ AS (SELECT cluster_run_id, cluster_id, item_id, 'center' AS kind, rank, mean_similarity AS score FROM centre_
         UNION ALL SELECT cluster_run_id, cluster_id, item_id, 'outskirt', rank, centroid_similarity FROM edge_)"""
