@@ -254,12 +254,10 @@ def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length:
 
 
 def core_distances(points: DataFrame, min_samples: int, **options) -> DataFrame:
-    """Distance to the min_samples-th nearest row, the row itself counted as the first.
+    """Distance of each item to its min_samples-th nearest other item.
 
-    With fewer rows than that, the farthest row stands in.
+    With fewer items than that, the farthest one stands in.
     """
-    found = knn(points, points, max(min_samples - 1, 1), exclude_self=True, **options)
+    found = knn(points, points, max(min_samples, 1), exclude_self=True, **options)
     far = found.groupBy(F.col("query_id").alias("item_id")).agg(F.max("distance").alias("core"))
-    if min_samples <= 1:
-        far = far.withColumn("core", F.lit(0.0))
     return points.select("item_id").join(far, "item_id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
