@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnmap.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_package(fn: Query) -> Query:
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = _with_package(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative result; survives the loss of executors."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of any session.
+
+    For sessions started without ``--py-files``; done once per application.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cairnmap_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cairnmap-package-")) / "cairnmap.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._cairnmap_shipped = True
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Columns that are not metadata.
@@ -11,10 +9,6 @@ SPECIAL_COLUMNS = ("name", "file_path")
 MAX_FIELD_CHARS = 10 * 1024 * 1024
 
 
-def _equal(left: DataFrame, right: DataFrame, names: list[str]):
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True, first_row_id: int = 1) -> DataFrame:
     """Rows of UTF-8 CSV files with a header, every value a string.
 
@@ -46,22 +40,23 @@ def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True, first_
     in_file = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     in_all = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *split, "_first",
+        F.col("_file").alias("_in_file"), F.col("_split").alias("_in_split"), "_first",
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_before_in_file"),
         F.coalesce(F.sum("_n").over(in_all), F.lit(0)).alias("_before"),
     )
     metadata = [c for c in columns if c not in SPECIAL_COLUMNS]
-    pairs = [x for c in metadata for x in (F.lit(c), F.coalesce(placed[f"`{c}`"], F.lit("")))]
+    pairs = [x for c in metadata for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
     entry = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     here = F.col("_mark") - F.col("_first")
-    optional = lambda c: placed[c] if c in columns else F.lit(None).cast("string")
-    return placed.join(offsets, _equal(placed, offsets, split)).select(
+    optional = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
+    same_split = F.col("_file").eqNullSafe(F.col("_in_file")) & F.col("_split").eqNullSafe(F.col("_in_split"))
+    return placed.join(offsets, same_split).select(
         (here + F.col("_before") + F.lit(first_row_id)).alias("row_id"),
         optional("name").alias("row_name"),
         entry.alias("metadata"),
         (here + F.col("_before_in_file") + 1).alias("source_row_number"),
         optional("file_path").alias("file_path"),
-        placed["_file"].alias("source_file"),
+        F.col("_file").alias("source_file"),
     )
 
 
