@@ -6,13 +6,13 @@ from pyspark.sql import Column, functions as F
 
 # (?U) gives \s the Unicode white space class, as str.strip() and str.split() use.
 _BLANK_RUN = r"(?U)\s+"
-_BLANK_ENDS = r"(?U)^\s+|\s+$"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 PART_SEPARATOR = "\n\n"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _BLANK_ENDS, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def normalize_blanks(text: Column) -> Column:
@@ -21,7 +21,8 @@ def normalize_blanks(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """Null, empty or nothing but white space; looks no further than the first other character."""
+    return ~F.coalesce(F.regexp_like(text, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def nonempty(text: Column) -> Column:
@@ -60,9 +61,10 @@ def within_budget(text: Column, max_tokens: int, prefix: str = "") -> Column:
     are kept as they are.
     """
     budget = max(max_tokens - len(prefix.split()), 0)
-    words = F.split(strip(text), _BLANK_RUN)
     if budget == 0:
         return F.lit(prefix)
+    # One piece more than the budget tells whether there is a rest to drop.
+    words = F.split(strip(text), _BLANK_RUN, budget + 1)
     cut = F.when(F.size(words) > budget, F.concat_ws(" ", F.slice(words, 1, budget))).otherwise(text)
     return F.concat(F.lit(prefix), cut)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
@@ -25,10 +27,22 @@ def l2_norm(vector: Column) -> Column:
     return F.sqrt(total(F.transform(as_doubles(vector), lambda x: x * x)))
 
 
-def l2_normalize(vector: Column, floor: float = _NORM_FLOOR) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a computed value several times in an expression, computing it once per row.
+
+    Inside a lambda an outer expression would be computed again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def l2_normalize(vector: Column, floor: float = _NORM_FLOOR, extra: float = 0.0) -> Column:
     """Divide by the length; the zero vector stays zero."""
-    length = F.greatest(l2_norm(vector), F.lit(floor))
-    return F.transform(as_doubles(vector), lambda x: x / length)
+
+    def divide(v: Column) -> Column:
+        length = F.greatest(l2_norm(v) + F.lit(extra), F.lit(floor))
+        return let(length, lambda n: F.transform(v, lambda x: x / n))
+
+    return let(as_doubles(vector), divide)
 
 
 def has_nan(vector: Column) -> Column:
@@ -37,9 +51,7 @@ def has_nan(vector: Column) -> Column:
 
 def zero_if_nan(vector: Column) -> Column:
     """A vector with any NaN becomes the zero vector of the same width."""
-    return F.when(has_nan(vector), F.transform(vector, lambda x: F.lit(0.0))).otherwise(
-        as_doubles(vector)
-    )
+    return F.when(has_nan(vector), F.array_repeat(F.lit(0.0), F.size(vector))).otherwise(as_doubles(vector))
 
 
 def euclidean(left: Column, right: Column) -> Column:

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairnmap.functions import text as X, vectors as V
+from cairnmap.functions.partitions import widen
 
 BATCH_ROWS = 8
 MAX_TOKENS = 8192
@@ -19,15 +20,18 @@ HASHED_MODEL = "hashed-tfidf"
 HASHED_WIDTH = 1024
 
 
-def clean_vectors(vectors: DataFrame, model: str) -> DataFrame:
-    """Unit length, NaN vectors zeroed, one embedding per representation."""
-    unit = V.l2_normalize(V.zero_if_nan(F.col("vector"))).cast("array<float>")
+def _stored(vectors: DataFrame, model: str, vector: Column) -> DataFrame:
     return vectors.select(
         F.col("representation_id").alias("embedding_id"), "representation_id", "item_id",
-        F.lit(model).alias("model_name"), F.size("vector").alias("dimensions"), unit.alias("vector"),
+        F.lit(model).alias("model_name"), F.size("vector").alias("dimensions"), vector.cast("array<float>").alias("vector"),
     )
 
 
+def clean_vectors(vectors: DataFrame, model: str) -> DataFrame:
+    """Unit length, NaN vectors zeroed, one embedding per representation."""
+    return _stored(vectors, model, V.l2_normalize(V.zero_if_nan(F.col("vector"))))
+
+
 def embed(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], model: str,
           batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Vectors through a caller's batch function over a text or binary column.
@@ -46,7 +50,7 @@ def embed(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], model: s
                 {"representation_id": batch["representation_id"], "item_id": batch["item_id"], "vector": out}
             )
 
-    raw = df.select("representation_id", "item_id", column).mapInPandas(
+    raw = widen(df.select("representation_id", "item_id", column)).mapInPandas(
         run, "representation_id long, item_id long, vector array<float>"
     )
     return clean_vectors(raw, model)
@@ -61,13 +65,12 @@ def embed_texts(pending: DataFrame, fn: Callable[[list[str]], np.ndarray], model
 
 def embed_hashed(pending: DataFrame, width: int = HASHED_WIDTH) -> DataFrame:
     """Built-in text vectors without a pretrained model: hashed TF-IDF, all in the JVM."""
-    tokens = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+").transform(pending)
+    tokens = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+").transform(widen(pending))
     counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width).transform(tokens)
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return clean_vectors(
-        unit.select("representation_id", "item_id", vector_to_array("_unit", "float32").alias("vector")), HASHED_MODEL
-    )
+    dense = unit.select("representation_id", "item_id", vector_to_array("_unit", "float32").alias("vector"))
+    return _stored(dense, HASHED_MODEL, F.col("vector"))
 
 
 def embed_summary(embeddings: DataFrame) -> DataFrame:

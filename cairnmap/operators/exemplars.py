@@ -27,8 +27,7 @@ def members(assignments: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _unit(vector):
-    length = V.l2_norm(vector) + F.lit(_NORM_EPSILON)
-    return F.transform(V.as_doubles(vector), lambda x: x / length)
+    return V.l2_normalize(vector, 0.0, _NORM_EPSILON)
 
 
 def centroids(member_vectors: DataFrame) -> DataFrame:

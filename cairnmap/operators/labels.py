@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import latest, top_per_group
 from cairnmap.operators.metrics import cluster_sizes
 
@@ -38,7 +39,7 @@ def cluster_keywords(assignments: DataFrame, texts: DataFrame, k: int = 5) -> Da
     """
     terms = (
         assignments.filter("cluster_id >= 0")
-        .join(texts.select("item_id", "text"), "item_id")
+        .join(widen(texts.select("item_id", "text")), "item_id")
         .select(*CLUSTER, F.explode(words(F.col("text"))).alias("term"))
         .groupBy(*CLUSTER, "term")
         .agg(F.count("*").alias("n"))

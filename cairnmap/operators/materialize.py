@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions import text as X
+from cairnmap.functions.partitions import widen
 from cairnmap.sources.artifacts import is_image
 
 EMBEDDING_TEXT = "embedding_text"
@@ -68,7 +69,7 @@ def describe(files: DataFrame, fn: Callable[[list[bytes]], list[str]], batch_row
                     texts.extend(one(c) for c in chunk)
             yield pd.DataFrame({"item_id": batch["item_id"], "artifact_id": batch["artifact_id"], "text": texts})
 
-    return files.select("item_id", "artifact_id", "content").mapInPandas(
+    return widen(files.select("item_id", "artifact_id", "content")).mapInPandas(
         run, "item_id long, artifact_id string, text string"
     )
 

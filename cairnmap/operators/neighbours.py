@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions import vectors as V
+from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import top_per_group
-from cairnmap.operators.tiles import block_of
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 8192
@@ -124,7 +124,7 @@ def _with_base_everywhere(q: DataFrame, b: DataFrame, k: int, exclude_self: bool
         for batch in batches:
             yield _answers(batch["_id"].to_numpy(np.int64), matrix(batch["_vector"]), b_ids, b_vectors, k, exclude_self)
 
-    return q.mapInPandas(search, _RESULT)
+    return widen(q).mapInPandas(search, _RESULT)
 
 
 def _with_queries_everywhere(q: DataFrame, b: DataFrame, k: int, exclude_self: bool) -> DataFrame:
@@ -139,7 +139,7 @@ def _with_queries_everywhere(q: DataFrame, b: DataFrame, k: int, exclude_self: b
             best = pd.concat([best, found]).sort_values(["query_id", "distance", "neighbor_id"]).groupby("query_id").head(k)
         yield best
 
-    return b.mapInPandas(search, _RESULT)
+    return widen(b).mapInPandas(search, _RESULT)
 
 
 def _to_cells(df: DataFrame, pivots) -> DataFrame:
