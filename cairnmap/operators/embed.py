@@ -32,9 +32,9 @@ def clean_vectors(vectors: DataFrame, model: str) -> DataFrame:
     return _stored(vectors, model, V.l2_normalize(V.zero_if_nan(F.col("vector"))))
 
 
-def embed(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], model: str,
-          batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Vectors through a caller's batch function over a text or binary column.
+def batch_vectors(df: DataFrame, keys: list[str], column: str, fn: Callable[[list], np.ndarray],
+                  batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Vectors through a caller's batch function over a text or binary column, keys passed through.
 
     ``fn`` runs in the tasks on ``batch_rows`` values at a time; it should load
     its model once per Python worker.
@@ -46,14 +46,17 @@ def embed(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], model: s
             for start in range(0, len(batch), batch_rows):
                 values = list(batch[column][start:start + batch_rows])
                 out.extend(np.asarray(fn(values), dtype=np.float32).tolist())
-            yield pd.DataFrame(
-                {"representation_id": batch["representation_id"], "item_id": batch["item_id"], "vector": out}
-            )
+            yield batch[keys].assign(vector=out)
 
-    raw = widen(df.select("representation_id", "item_id", column)).mapInPandas(
-        run, "representation_id long, item_id long, vector array<float>"
-    )
-    return clean_vectors(raw, model)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", vector array<float>"
+    return widen(df.select(*keys, column)).mapInPandas(run, schema)
+
+
+def embed(df: DataFrame, column: str, fn: Callable[[list], np.ndarray], model: str,
+          batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Embeddings of representations through a caller's batch function."""
+    return clean_vectors(batch_vectors(df, ["representation_id", "item_id"], column, fn, batch_rows), model)
 
 
 def embed_texts(pending: DataFrame, fn: Callable[[list[str]], np.ndarray], model: str,

@@ -16,6 +16,9 @@ OUTSKIRTS_K = 2
 _TIE_DECIMALS = 9
 _NORM_EPSILON = 1e-10
 
+# A cluster's members meet its direction in this many tasks, so one cluster can be most of the data.
+_SALTS = 64
+
 CLUSTER = ["cluster_run_id", "cluster_id"]
 
 
@@ -46,12 +49,14 @@ def similarities(member_vectors: DataFrame) -> DataFrame:
     no pairs: cost grows linearly with the cluster.
     """
     direction = centroids(member_vectors).select(
-        *CLUSTER, _unit(F.col("centroid")).alias("_centroid"), F.col("mean_direction").alias("_mean")
+        *CLUSTER, _unit(F.col("centroid")).alias("_centroid"), F.col("mean_direction").alias("_mean"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("_salt"),
     )
     unit = F.col("_unit")
     return (
         member_vectors.withColumn("_unit", _unit(F.col("vector")))
-        .join(direction, CLUSTER)
+        .withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(_SALTS)))
+        .join(direction, [*CLUSTER, "_salt"])
         .select(
             *CLUSTER,
             "item_id",

@@ -47,10 +47,7 @@ def representations(rows: DataFrame, extracted: DataFrame | None = None, first_p
 
 
 def describe(files: DataFrame, fn: Callable[[list[bytes]], list[str]], batch_rows: int = 8) -> DataFrame:
-    """Text for binary files through ``fn``; a file it fails on gets the empty text.
-
-    Passes ``item_id`` and ``artifact_id`` through.
-    """
+    """Text per distinct file ``(artifact_id, content)`` through ``fn``; a file it fails on gets the empty text."""
 
     def one(content: bytes) -> str:
         try:
@@ -67,11 +64,10 @@ def describe(files: DataFrame, fn: Callable[[list[bytes]], list[str]], batch_row
                     texts.extend(t or "" for t in fn(chunk))
                 except Exception:  # noqa: BLE001 - find the bad file by asking one at a time
                     texts.extend(one(c) for c in chunk)
-            yield pd.DataFrame({"item_id": batch["item_id"], "artifact_id": batch["artifact_id"], "text": texts})
+            yield pd.DataFrame({"artifact_id": batch["artifact_id"], "text": texts})
 
-    return widen(files.select("item_id", "artifact_id", "content")).mapInPandas(
-        run, "item_id long, artifact_id string, text string"
-    )
+    distinct = files.select("artifact_id", "content").dropDuplicates(["artifact_id"])
+    return widen(distinct).mapInPandas(run, "artifact_id string, text string")
 
 
 def _without_model(reps: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:

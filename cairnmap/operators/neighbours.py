@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from cairnmap.functions import vectors as V
 from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import top_per_group
+from cairnmap.operators.sampling import seeded_pick
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 8192
@@ -158,11 +159,7 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
     spark = q.sparkSession
     n_base = b.count()
     n_pivots = min(MAX_PIVOTS, max(2, math.ceil(n_base / block_rows)))
-    # Few of many: a hash filter first, so the ordered pick sees little more than it needs.
-    share = min(1.0, 4.0 * n_pivots / n_base)
-    spread = F.pmod(F.xxhash64(F.lit(7), F.col("_id")), F.lit(1_000_003))
-    picked = b.filter(spread <= int(share * 1_000_003)).orderBy(spread, "_id").limit(n_pivots)
-    _, centres = collect_matrix(picked, "_id", "_vector")
+    _, centres = collect_matrix(seeded_pick(b, n_base, n_pivots, "_id"), "_id", "_vector")
     centres = np.unique(centres, axis=0)
     pivots = spark.sparkContext.broadcast(centres)
     placed = _to_cells(b, pivots)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cairnmap import SEED
 from cairnmap.functions import vectors as V
 from cairnmap.operators.neighbours import collect_matrix, knn, matrix, nearest_rows
+from cairnmap.operators.sampling import seeded_pick
 
 N_NEIGHBORS = 15
 MIN_DIST = 0.1
@@ -244,11 +245,7 @@ def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NE
         return spark.createDataFrame([], result)
     if n == 1:
         return data.select("item_id", F.array_repeat(F.lit(0.0), target_dimensions).alias("coordinates"))
-    ticket = F.xxhash64(F.lit(random_state), "item_id")
-    if n > max_landmarks:
-        landmarks = data.orderBy(ticket, "item_id").limit(max_landmarks).select("item_id", "vector")
-    else:
-        landmarks = data
+    landmarks = seeded_pick(data, n, max_landmarks, seed=random_state) if n > max_landmarks else data
     ids, points = collect_matrix(landmarks, "item_id", "vector")
     fixed = spark.createDataFrame(
         pd.DataFrame({"item_id": ids, "vector": list(points)}), "item_id long, vector array<double>"

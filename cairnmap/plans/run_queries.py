@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnmap.functions import prompts
+from cairnmap.functions import prompts, vectors as V
 from cairnmap.operators import labels, merge, metrics, registry, views
+from cairnmap.operators.embed import item_vectors
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
+from cairnmap.session import scratch_folder
 from cairnmap.sources import artifacts
 from cairnmap.sources.export import export_rows
+from cairnmap.sources.store import Store
 
 RUN = "cluster_run_id"
 
@@ -44,11 +47,47 @@ def silhouette(spark, sf):
     return metrics.silhouette(I.vector_assignments(spark, sf), I.coordinates(spark, sf, 8))
 
 
-@query("squared_silhouette")
+@query("squared_silhouette", over("asg_vec_", "vec_", sql="""
+    , p_ AS (SELECT cluster_id, item_id, v[1:8] AS v FROM asg_vec_ JOIN vec_ USING (item_id) WHERE cluster_id >= 0),
+    n_ AS (SELECT cluster_id, count(*) AS n FROM p_ GROUP BY 1),
+    d_ AS (SELECT a.item_id, a.cluster_id, b.cluster_id AS other, sum(list_distance(a.v, b.v) ** 2) AS t FROM p_ a, p_ b GROUP BY 1, 2, 3),
+    ab_ AS (SELECT d.item_id, max(CASE WHEN d.cluster_id = other THEN t / nullif(n - 1, 0) END) AS a,
+        min(CASE WHEN d.cluster_id <> other THEN t / n END) AS b FROM d_ d JOIN n_ ON n_.cluster_id = other GROUP BY 1)
+    SELECT 1 AS cluster_run_id, (SELECT count(*) FROM embeddings) AS n_items,
+        round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS squared_silhouette FROM ab_"""))
 def squared_silhouette(spark, sf):
     assigned, placed = I.vector_assignments(spark, sf), I.coordinates(spark, sf, 8)
     score = metrics.squared_silhouette(assigned, placed)
-    return assigned.groupBy(RUN).agg(F.count("*").alias("n_items")).withColumn("squared_silhouette", F.lit(score))
+    return assigned.groupBy(RUN).agg(F.count("*").alias("n_items")).withColumn(
+        "squared_silhouette", F.round(F.lit(score).cast("double"), 6)
+    )
+
+
+@query("fetch_row", over("rows_", sql="SELECT row_id, row_name, source FROM rows_ WHERE row_id = 11"))
+def fetch_row(spark, sf):
+    return views.by_id(I.rows(spark, sf), "row_id", 11).select("row_id", "row_name", F.col("metadata")["source"].alias("source"))
+
+
+@query("stored_coordinates", over("vec_", sql="SELECT item_id, round(v[1], 6) AS x, round(v[2], 6) AS y FROM vec_"))
+def stored_coordinates(spark, sf):
+    """Two reductions in the partitioned store; reading one scans only its own files."""
+    store = Store(spark, scratch_folder(spark, "store"))
+    for number, dims in ((1, 8), (2, 2)):
+        placed = I.coordinates(spark, sf, dims).withColumn("reduction_id", F.lit(number).cast("long"))
+        store.append("coordinates", placed)
+    one = store.read("coordinates").filter("reduction_id = 2")
+    return one.select("item_id", *[F.round(F.col("coordinates")[i], 6).alias(n) for i, n in enumerate("xy")])
+
+
+@query("model_vectors", over("vec_", sql="""
+    SELECT item_id, round(list_sum(v), 5) AS total FROM vec_ JOIN embeddings ON vec_id = item_id WHERE label % 2 = 0"""))
+def model_vectors(spark, sf):
+    """Vectors of one model from a table that holds several."""
+    stored = I.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("model_name"),
+        F.col("embedding").alias("vector"),
+    )
+    return item_vectors(stored, "even").select("item_id", F.round(V.total(V.as_doubles(F.col("vector"))), 5).alias("total"))
 
 
 @query("find_reduction", over("reds_", sql="""

@@ -36,6 +36,21 @@ def artifact_links(spark, sf):
     return artifacts.item_artifacts(artifacts.addressed(I.page_files(spark, sf)))
 
 
+@query("attached_files", over("links_", sql="""
+    SELECT item_id, original_path, artifact_id, bytes FROM links_ WHERE item_id % 3 <> 0"""))
+def attached_files(spark, sf):
+    """Rows that name a page by its absolute or relative path; every third names none."""
+    files = I.page_files(spark, sf)
+    relative = F.regexp_replace("original_path", "^/files/", "")
+    named = files.select(
+        F.col("item_id").alias("row_id"), "source_row_number",
+        F.when(F.col("item_id") % 3 == 0, "").when(F.col("item_id") % 3 == 1, F.concat(F.lit("./"), relative))
+        .otherwise(F.col("original_path")).alias("file_path"),
+    )
+    listed = files.select(F.col("original_path").alias("path"), relative.alias("relative"), "content")
+    return artifacts.attach(named, listed).select("item_id", "original_path", "artifact_id", "bytes")
+
+
 @query("file_text", """
     SELECT page_id AS item_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS text FROM pages""")
 def file_text(spark, sf):
@@ -193,7 +208,7 @@ def _letter_shares(values):
     return out
 
 
-@query("embed_texts")
+@query("embed_texts", over("reps_", sql="SELECT item_id, 'letters' AS model_name, 26 AS dimensions, 1.0 AS length FROM reps_"))
 def embed_texts(spark, sf):
     pending = I.representations(spark, sf).select("representation_id", "item_id", "text")
     return embed.embed_texts(pending, _letter_shares, "letters").select(
@@ -218,7 +233,7 @@ def _byte_counts(values):
 
 
 @query("describe_files", over("links_", sql="""
-    SELECT item_id, artifact_id, CASE WHEN bytes % 7 = 0 THEN '' ELSE bytes || ' bytes' END AS text FROM links_"""))
+    SELECT DISTINCT artifact_id, CASE WHEN bytes % 7 = 0 THEN '' ELSE bytes || ' bytes' END AS text FROM links_"""))
 def describe_files(spark, sf):
     files = I.page_files(spark, sf).withColumn("artifact_id", F.sha2("content", 256))
     return materialize.describe(files, _byte_counts)
@@ -328,7 +343,17 @@ def cluster_keywords(spark, sf):
     return found.select("cluster_id", "term", F.round("score", 7).alias("score"), "rank")
 
 
-@query("offline_labels")
+@query("offline_labels", over("asg_doc_", sql=r"""
+    , w_ AS (SELECT cluster_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term
+        FROM asg_doc_ JOIN documents ON doc_id = item_id WHERE cluster_id >= 0),
+    n_ AS (SELECT cluster_id, term, count(*) AS n FROM w_ WHERE length(term) >= 3 GROUP BY 1, 2),
+    c_ AS (SELECT cluster_id, sum(n) AS cw FROM n_ GROUP BY 1),
+    t_ AS (SELECT term, sum(n) AS tw FROM n_ GROUP BY 1),
+    r_ AS (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(n / cw * ln(1 + (SELECT avg(cw) FROM c_) / tw), 9) DESC, term) AS rank
+        FROM n_ JOIN c_ USING (cluster_id) JOIN t_ USING (term))
+    SELECT 2 AS cluster_run_id, cluster_id, string_agg(term, ' ' ORDER BY rank) FILTER (rank <= 3) AS label, min_by(term, rank) AS short_label,
+        'Most distinctive words: ' || string_agg(term, ', ' ORDER BY rank) AS rationale, string_agg(term, ', ' ORDER BY rank) AS keywords
+    FROM r_ WHERE rank <= 5 GROUP BY cluster_id"""))
 def offline_labels(spark, sf):
     found = labels.cluster_keywords(I.document_assignments(spark, sf), I.plain_texts(spark, sf))
     return labels.offline_labels(found).withColumn("keywords", F.array_join("keywords", ", "))

@@ -34,7 +34,7 @@ SUMMARIES = (
 CRITIQUE = "verdict string, quality_score double, recommendations array<string>"
 METRICS = (
     "n_clusters long, noise_fraction double, total_items long, size_min long, size_max long, "
-    "size_median double, silhouette double"
+    "size_median double, silhouette double, squared_silhouette double"
 )
 CRITIQUES = (
     "critique_id long, cluster_run_id long, provider string, model string, "

@@ -32,15 +32,22 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(^|/)(\./)+", "$1"), r"/{2,}", "/")
 
 
+def fingerprints(files: DataFrame) -> DataFrame:
+    """Replace the bytes by their address and size while scanning, so they never reach a shuffle."""
+    return files.select(
+        "path", "relative", F.sha2("content", 256).alias("artifact_id"), F.length("content").cast("long").alias("bytes")
+    )
+
+
 def attach(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows that name a file, with its content; a name that matches nothing fails the job.
+    """Rows that name a file, with the address of its content; a name that matches nothing fails the job.
 
-    An absolute name is matched first, then the name relative to the folder.
+    Names are absolute or relative to the folder of the files.
     """
+    known = fingerprints(files)
     named = rows.filter(F.coalesce(FILE, F.lit("")) != "").withColumn("_path", _plain(F.col(FILE)))
-    keys = files.select(_plain(F.col("path")).alias("_key"), "path", "content").unionByName(
-        files.filter("relative is not null").select(_plain(F.col("relative")).alias("_key"), "path", "content")
-    )
+    names = F.array_distinct(F.array_compact(F.array(_plain(F.col("path")), _plain(F.col("relative")))))
+    keys = known.select(F.explode(names).alias("_key"), "path", "artifact_id", "bytes")
     missing = F.concat(
         F.lit("row "), F.col("source_row_number").cast("string"), F.lit(": file '"), F.col(FILE), F.lit("' not found")
     )
@@ -48,7 +55,7 @@ def attach(rows: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(
         F.col("row_id").alias("item_id"), "source_row_number",
         F.when(F.col("path").isNull(), F.raise_error(missing)).otherwise(F.col("path")).alias("original_path"),
-        "content",
+        "artifact_id", mime_type(F.col("path")).alias("mime_type"), "bytes",
     )
 
 
@@ -66,9 +73,9 @@ def mime_type(path: Column) -> Column:
     return F.when(suffix != "", F.element_at(table, suffix))
 
 
-def addressed(attached: DataFrame) -> DataFrame:
-    """Replace the bytes by their address, size and type, so they never reach a shuffle."""
-    return attached.select(
+def addressed(files: DataFrame) -> DataFrame:
+    """Links of items to contents when the bytes lie in the item's own row."""
+    return files.select(
         "item_id", "source_row_number", "original_path",
         F.sha2("content", 256).alias("artifact_id"),
         mime_type(F.col("original_path")).alias("mime_type"),

@@ -67,7 +67,7 @@ def attached(spark, folder, *names):
 
 
 def test_one_artifact_two_links(spark, folder):
-    links = A.addressed(attached(spark, folder, "one.txt", "sub/same.md", "./one.txt", str(folder / "pic.png"), "", None))
+    links = attached(spark, folder, "one.txt", "sub/same.md", "./one.txt", str(folder / "pic.png"), "", None)
     found = {r.artifact_id: r for r in A.artifacts(links).collect()}
     key = hashlib.sha256(b"one").hexdigest()
     assert len(found) == 2 and A.item_artifacts(links).count() == 4
