@@ -66,10 +66,6 @@ def similarities(member_vectors: DataFrame) -> DataFrame:
     )
 
 
-def _tied(column: str):
-    return F.round(F.col(column), _TIE_DECIMALS)
-
-
 def select_exemplars(
     assignments: DataFrame,
     vectors: DataFrame,
@@ -84,19 +80,24 @@ def select_exemplars(
     the members that are not centre picks.
     """
     scored = similarities(members(assignments, vectors))
-    candidates = top_per_group(
-        scored, CLUSTER, [_tied("centroid_similarity").desc(), F.col("item_id")], n_candidates, "_near"
+    # The centre picks can take at most top_k of the lowest rows, so this many suffice.
+    n_lowest = outskirts_k + top_k
+    # Both ends of each cluster in one pass: every row competes once from each side.
+    similarity = F.round("centroid_similarity", _TIE_DECIMALS)
+    sides = F.explode(F.array(
+        F.struct(F.lit("near").alias("side"), (-similarity).alias("key")), F.struct(F.lit("far").alias("side"), similarity.alias("key"))
+    ))
+    ends = top_per_group(
+        scored.withColumn("_end", sides).select("*", "_end.side", "_end.key").drop("_end"),
+        [*CLUSTER, "side"], [F.col("key"), F.col("item_id")], max(n_candidates, n_lowest), "_place",
     )
+    candidates = ends.filter((F.col("side") == "near") & (F.col("_place") <= n_candidates))
     centre = top_per_group(
-        candidates, CLUSTER, [_tied("mean_similarity").desc(), F.col("_near")], top_k
+        candidates, CLUSTER, [F.round("mean_similarity", _TIE_DECIMALS).desc(), F.col("_place")], top_k
     ).select(*CLUSTER, "item_id", F.lit("center").alias("kind"), "rank", F.col("mean_similarity").alias("score"))
-
-    # The centre picks can take at most top_k of the lowest rows, so this many suffice.
-    lowest = top_per_group(
-        scored, CLUSTER, [_tied("centroid_similarity").asc(), F.col("item_id")], outskirts_k + top_k, "_far"
-    )
+    lowest = ends.filter((F.col("side") == "far") & (F.col("_place") <= n_lowest))
     outskirt = top_per_group(
-        lowest.join(centre, [*CLUSTER, "item_id"], "left_anti"), CLUSTER, [F.col("_far")], outskirts_k
+        lowest.join(centre, [*CLUSTER, "item_id"], "left_anti"), CLUSTER, [F.col("_place")], outskirts_k
     ).select(
         *CLUSTER, "item_id", F.lit("outskirt").alias("kind"), "rank", F.col("centroid_similarity").alias("score")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import latest, top_per_group
@@ -44,13 +44,14 @@ def cluster_keywords(assignments: DataFrame, texts: DataFrame, k: int = 5) -> Da
         .groupBy(*CLUSTER, "term")
         .agg(F.count("*").alias("n"))
     )
-    per_cluster = terms.groupBy(*CLUSTER).agg(F.sum("n").alias("cluster_words"))
-    per_run = per_cluster.groupBy("cluster_run_id").agg(F.avg("cluster_words").alias("mean_words"))
+    # One row per cluster, so the mean over a run's clusters is a small window.
+    per_cluster = terms.groupBy(*CLUSTER).agg(F.sum("n").alias("cluster_words")).withColumn(
+        "mean_words", F.avg("cluster_words").over(Window.partitionBy("cluster_run_id"))
+    )
     per_term = terms.groupBy("cluster_run_id", "term").agg(F.sum("n").alias("term_words"))
     scored = (
         terms.join(per_term, ["cluster_run_id", "term"])
         .join(per_cluster, CLUSTER)
-        .join(per_run, "cluster_run_id")
         .select(
             *CLUSTER, "term",
             (F.col("n") / F.col("cluster_words") * F.log1p(F.col("mean_words") / F.col("term_words"))).alias("score"),

@@ -208,7 +208,7 @@ def _letter_shares(values):
     return out
 
 
-@query("embed_texts", over("reps_", sql="SELECT item_id, 'letters' AS model_name, 26 AS dimensions, 1.0 AS length FROM reps_"))
+@query("embed_texts", over("reps_", sql="SELECT item_id, 'letters' AS model_name, 26 AS dimensions, CAST(1.0 AS DOUBLE) AS length FROM reps_"))
 def embed_texts(spark, sf):
     pending = I.representations(spark, sf).select("representation_id", "item_id", "text")
     return embed.embed_texts(pending, _letter_shares, "letters").select(
@@ -218,7 +218,7 @@ def embed_texts(spark, sf):
 
 @query("embed_files", over("files_", sql="""
     SELECT item_id, 'letters' AS model_name, 26 AS dimensions,
-        CASE WHEN regexp_matches(content, '[A-Za-z]') THEN 1.0 ELSE 0.0 END AS length FROM files_"""))
+        CASE WHEN regexp_matches(content, '[A-Za-z]') THEN CAST(1.0 AS DOUBLE) ELSE 0.0 END AS length FROM files_"""))
 def embed_files(spark, sf):
     files = I.page_files(spark, sf).withColumn("representation_id", F.col("item_id"))
     return embed.embed(files, "content", _letter_shares, "letters").select(
@@ -351,7 +351,7 @@ def cluster_keywords(spark, sf):
     t_ AS (SELECT term, sum(n) AS tw FROM n_ GROUP BY 1),
     r_ AS (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(n / cw * ln(1 + (SELECT avg(cw) FROM c_) / tw), 9) DESC, term) AS rank
         FROM n_ JOIN c_ USING (cluster_id) JOIN t_ USING (term))
-    SELECT 2 AS cluster_run_id, cluster_id, string_agg(term, ' ' ORDER BY rank) FILTER (rank <= 3) AS label, min_by(term, rank) AS short_label,
+    SELECT CAST(2 AS BIGINT) AS cluster_run_id, cluster_id, string_agg(term, ' ' ORDER BY rank) FILTER (rank <= 3) AS label, min_by(term, rank) AS short_label,
         'Most distinctive words: ' || string_agg(term, ', ' ORDER BY rank) AS rationale, string_agg(term, ', ' ORDER BY rank) AS keywords
     FROM r_ WHERE rank <= 5 GROUP BY cluster_id"""))
 def offline_labels(spark, sf):
