@@ -21,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions import vectors as V
 from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import top_per_group
 from cairnmap.operators.sampling import seeded_pick
+from cairnmap.session import checkpointed
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 8192
@@ -162,7 +165,8 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
     _, centres = collect_matrix(seeded_pick(b, n_base, n_pivots, "_id"), "_id", "_vector")
     centres = np.unique(centres, axis=0)
     pivots = spark.sparkContext.broadcast(centres)
-    placed = _to_cells(b, pivots)
+    # Read several times below, and dear to compute.
+    placed = checkpointed(_to_cells(b, pivots))
 
     # Bounded by the pivot count: radius, row count and the first k distances per cell.
     want = k + 1 if exclude_self else k
@@ -237,9 +241,6 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
 def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length: float, tables: int = 4,
                     radius: float = math.inf, id_col: str = "item_id", vec_col: str = "vector", seed: int = 42) -> DataFrame:
     """Neighbours that share a random-projection bucket; misses some, for very wide bases."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
     vec = lambda df: df.select(F.col(id_col).alias("id"), array_to_vector(V.as_doubles(F.col(vec_col))).alias("features"))
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairnmap.functions import prompts, text as X, vectors as V
+from cairnmap.functions.ranking import top_per_group
 from cairnmap.operators import embed, exemplars, generate, labels, materialize, metrics, sampling
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
-from cairnmap.sources import artifacts
+from cairnmap.sources import artifacts, csv_rows
 
 _LABEL = "label string, short_label string, rationale string, keywords array<string>"
 
 
 @query("items", "SELECT doc_id AS item_id, doc_id AS row_id FROM documents")
 def items(spark, sf):
-    from cairnmap.sources.csv_rows import items as of
-
-    return of(I.rows(spark, sf))
+    return csv_rows.items(I.rows(spark, sf))
 
 
 @query("row_metadata", over("rows_", sql="""
@@ -198,8 +198,6 @@ def embed_hashed(spark, sf):
 
 
 def _letter_shares(values):
-    import numpy as np
-
     out = np.zeros((len(values), 26))
     for row, value in enumerate(values):
         raw = value.lower().encode() if isinstance(value, str) else bytes(value).lower()
@@ -321,8 +319,6 @@ def exemplar_sections(spark, sf):
         JOIN reps_ USING (item_id) WHERE i <= 3 GROUP BY 1)
     JOIN (SELECT cluster_id, count(*) AS size FROM asg_doc_ WHERE cluster_id >= 0 GROUP BY 1) USING (cluster_id)"""))
 def label_prompts(spark, sf):
-    from cairnmap.functions.ranking import top_per_group
-
     assigned = I.document_assignments(spark, sf)
     picked = top_per_group(assigned, ["cluster_run_id", "cluster_id"], [F.col("item_id")], 3).withColumn("kind", F.lit("center"))
     sections = prompts.exemplar_sections(picked, I.representations(spark, sf))
