@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnmap import SEED
 from cairnmap.functions import vectors as V
+from cairnmap.functions.frames import from_pandas
 from cairnmap.operators.neighbours import collect_matrix, knn, matrix, nearest_rows
 from cairnmap.operators.sampling import seeded_pick
 
@@ -247,8 +248,8 @@ def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NE
         return data.select("item_id", F.array_repeat(F.lit(0.0), target_dimensions).alias("coordinates"))
     landmarks = seeded_pick(data, n, max_landmarks, seed=random_state) if n > max_landmarks else data
     ids, points = collect_matrix(landmarks, "item_id", "vector")
-    fixed = spark.createDataFrame(
-        pd.DataFrame({"item_id": ids, "vector": list(points)}), "item_id long, vector array<double>"
+    fixed = from_pandas(
+        spark, pd.DataFrame({"item_id": ids, "vector": list(points)}), "item_id long, vector array<double>"
     ).repartition(spark.sparkContext.defaultParallelism, "item_id")
     # The item itself counts as one of its neighbours.
     k = max(1, min(n_neighbors, len(ids) - 1) - 1)
@@ -262,7 +263,7 @@ def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NE
         spark, _start(points, target_dimensions, random_state), np.concatenate([left, right]), np.concatenate([right, left]),
         np.concatenate([weight, weight]), a, b, rounds, random_state,
     )
-    placed = spark.createDataFrame(pd.DataFrame({"item_id": ids, "coordinates": list(y)}), result)
+    placed = from_pandas(spark, pd.DataFrame({"item_id": ids, "coordinates": list(y)}), result)
     if n <= max_landmarks:
         return placed
     rest = data.join(F.broadcast(placed.select("item_id")), "item_id", "left_anti")

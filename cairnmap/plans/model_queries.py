@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cairnmap.functions.frames import from_pandas
 from cairnmap.operators import agglomerative, codebook, hdbscan, linkage, neighbours, pca, registry, som, umap, views
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
@@ -146,8 +147,8 @@ def pca_variance(spark, sf):
 @query("pca_explained")
 def pca_explained(spark, sf):
     fitted = pca.fit_pca(I.vectors(spark, sf), 10)
-    return spark.createDataFrame(
-        pd.DataFrame({"component": np.arange(fitted.width), "share": np.round(fitted.explained, 6)}), "component int, share double"
+    return from_pandas(
+        spark, pd.DataFrame({"component": np.arange(fitted.width), "share": np.round(fitted.explained, 6)}), "component int, share double"
     )
 
 
@@ -245,8 +246,8 @@ def _assigned(df):
 def spanning_tree(spark, sf):
     ids, points = neighbours.collect_matrix(I.coordinates(spark, sf, 8), "item_id", "coordinates")
     a, b, w = linkage.spanning_tree(spark, ids, points)
-    return spark.createDataFrame(
-        pd.DataFrame({"a": ids[a], "b": ids[b], "weight": np.round(w, 6)}), "a long, b long, weight double"
+    return from_pandas(
+        spark, pd.DataFrame({"a": ids[a], "b": ids[b], "weight": np.round(w, 6)}), "a long, b long, weight double"
     )
 
 
