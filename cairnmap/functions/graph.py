@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.session import checkpointed
 
+# Edges that a task contracts at a time.
+CONTRACT_EDGES = 1 << 20
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node each is connected to, by union-find."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a):].tolist()):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x < y:
+            parent[y] = x
+        elif y < x:
+            parent[x] = y
+    for i, p in enumerate(parent):  # a parent is never larger than its child
+        parent[i] = parent[p]
+    return nodes, nodes[np.array(parent, np.int64)] if len(nodes) else nodes
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as stars around the smallest node, a bounded number of edges at a time."""
+    held: list[pd.DataFrame] = []
+    size = 0
+
+    def stars() -> pd.DataFrame:
+        edges = pd.concat(held)
+        nodes, root = roots(edges["a"].to_numpy(), edges["b"].to_numpy())
+        other = nodes != root
+        return pd.DataFrame({"a": nodes[other], "b": root[other]})
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= CONTRACT_EDGES:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
+
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component): each node of an edge with the smallest node it is linked to by a path.
+    """(node, component): each node (a long) of an edge between two nodes with the smallest node it is connected to.
 
-    Every round takes the smallest label among a node's neighbours and then the label of that label, so
-    paths halve; rounds end when no label changes. Edges are never gathered per node: minima are partial
-    sums, and a hub's edges are an ordinary skewed join. Each round is checkpointed. Null ends are ignored.
+    Tasks first contract their own edges to stars. Then every round takes the smallest label among a node's
+    neighbours and the label of that label, so paths halve; rounds end when no label changes. Edges are
+    never gathered per node: minima are partial sums, and a hub's edges are an ordinary skewed join. Each
+    round is checkpointed. Null ends and loops are ignored.
     """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    both = checkpointed(pairs.union(pairs.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component")))
+    pairs = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a <> b")
+    stars = pairs.mapInPandas(_contract, "a long, b long")
+    both = checkpointed(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+                        .select("e.*").distinct())
+    labels = both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component"))
+    labels = checkpointed(labels)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_low"))
