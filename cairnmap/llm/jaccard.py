@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cairnmap.functions.graph import connected_components
+from cairnmap.functions.graph import connected_components, roots
 from cairnmap.llm.bytetext import ASCII_SPACE, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
 from cairnmap.session import checkpointed
 
@@ -197,8 +197,10 @@ def _unit_links(width: int, percent: int):
         if group["known"].nunique() > 1:
             group = group.sort_values(["part", "id"], kind="stable")
             links = forest(group["text"].tolist(), group["part"].to_numpy(), group["known"].to_numpy(), width, percent)
-        ids = group["id"].to_numpy()
-        return pd.DataFrame({"a": np.array([ids[i] for i, _ in links], np.int64), "b": np.array([ids[j] for _, j in links], np.int64)})
+        ids = group["id"].to_numpy(np.int64)
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        nodes, root = roots(ids[ends[:, 0]], ids[ends[:, 1]])
+        return pd.DataFrame({"a": nodes, "b": root})  # the links' components as stars
 
     return run
 
@@ -220,11 +222,10 @@ def neighbourhoods(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     several = checkpointed(flat.join(shared, "token"))
     banded = several.withColumn("band", F.explode(_band_array(percent)))
     leads = banded.groupBy("token", "band").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
-    edges = banded.join(leads, ["token", "band"]).select("id", "n_shingles", "band", "lead").distinct()
-    stars = checkpointed(edges.withColumn("node", F.struct("band", "id")).withColumn("hub", F.struct("band", F.col("lead").alias("id"))))
+    node = lambda i: F.xxhash64("band", i)  # noqa: E731  equal hashes would only merge neighbourhoods
+    stars = checkpointed(banded.join(leads, ["token", "band"]).select("id", "n_shingles", node("id").alias("node"), node("lead").alias("hub")).distinct())
     found = connected_components(stars, "node", "hub")
-    sizes = stars.select("node", "id", "n_shingles").distinct()
-    return sizes.join(found, "node").select("id", "n_shingles", F.xxhash64("component").alias("place"))
+    return stars.select("node", "id", "n_shingles").distinct().join(found, "node").select("id", "n_shingles", F.col("component").alias("place"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
