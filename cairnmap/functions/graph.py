@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 # Edges that a task contracts at a time.
 CONTRACT_EDGES = 1 << 20
@@ -59,19 +59,19 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Tasks first contract their own edges to stars. Then every round takes the smallest label among a node's
     neighbours and the label of that label, so paths halve; rounds end when no label changes. Edges are
     never gathered per node: minima are partial sums, and a hub's edges are an ordinary skewed join. Each
-    round is checkpointed. Null ends and loops are ignored.
+    round is written to the shared folder. Null ends and loops are ignored.
     """
     pairs = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a <> b")
     stars = pairs.mapInPandas(_contract, "a long, b long")
-    both = checkpointed(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    both = written(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
                         .select("e.*").distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component"))
-    labels = checkpointed(labels)
+    labels = written(labels)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_low"))
         hop = labels.select(F.col("node").alias("_via"), F.col("component").alias("_far"))
-        moved = checkpointed(lower.join(hop, lower["_low"] == hop["_via"], "left").select(
+        moved = written(lower.join(hop, lower["_low"] == hop["_via"], "left").select(
             "node", F.least("_low", F.coalesce("_far", "_low")).alias("component"), "_old"))
         labels = moved.select("node", "component")
         if moved.filter("component <> _old").isEmpty():

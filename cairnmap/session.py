@@ -74,3 +74,13 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder."""
     use_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and later plans know its size.
+
+    Unlike after a checkpoint, the optimizer starts from the files alone, so plans of iterative steps stay small.
+    """
+    folder = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
