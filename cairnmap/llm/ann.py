@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairnmap.functions.ranking import top_per_group
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 # Rows that the tree is fitted on, branches of a node, and sample rows in a leaf at most.
 SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE = 20_000, 8, 48
@@ -202,7 +202,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull())
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     rows = rows.filter(F.size("v") == (width["w"] if width else 0))
-    rows = checkpointed(rows.groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q"))
+    rows = written(rows.groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q"))
     sample = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows).select("v").toPandas()
     tree = build_tree(_stack(sample["v"]) if len(sample) else np.zeros((0, 1)))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
@@ -213,12 +213,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             if len(batch):
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "leaf": shared.value.leaf_of(_stack(batch["v"]))})
 
-    at = checkpointed(base.mapInPandas(leaves, "id long, v array<double>, leaf long"))
+    at = written(base.mapInPandas(leaves, "id long, v array<double>, leaf long"))
     crowd = at.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    placed = checkpointed(at.join(crowd, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    placed = written(at.join(crowd, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
     queries = rows.filter("q").select("id", "v")
-    trial = checkpointed(queries.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CALIBRATION_QUERIES).select("id", "v"))
-    truth = checkpointed(brute_force(trial, placed, k))
+    trial = written(queries.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CALIBRATION_QUERIES).select("id", "v"))
+    truth = written(brute_force(trial, placed, k))
     visits = min(8, tree.leaves)
     while visits < tree.leaves and recall(visit(trial, placed, tree, visits, k), truth) < wanted:
         visits = min(2 * visits, tree.leaves)

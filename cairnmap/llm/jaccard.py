@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions.graph import connected_components, roots
 from cairnmap.llm.bytetext import ASCII_SPACE, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 WIDTH, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCKS, FAN_IN = 21, 64, 64
@@ -219,11 +219,11 @@ def neighbourhoods(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     flat = rows.select("id", "n_shingles", F.explode("tokens").alias("token"))
     shared = flat.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    several = checkpointed(flat.join(shared, "token"))
+    several = written(flat.join(shared, "token"))
     banded = several.withColumn("band", F.explode(_band_array(percent)))
     leads = banded.groupBy("token", "band").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
     node = lambda i: F.xxhash64("band", i)  # noqa: E731  equal hashes would only merge neighbourhoods
-    stars = checkpointed(banded.join(leads, ["token", "band"]).select("id", "n_shingles", node("id").alias("node"), node("lead").alias("hub")).distinct())
+    stars = written(banded.join(leads, ["token", "band"]).select("id", "n_shingles", node("id").alias("node"), node("lead").alias("hub")).distinct())
     found = connected_components(stars, "node", "hub")
     return stars.select("node", "id", "n_shingles").distinct().join(found, "node").select("id", "n_shingles", F.col("component").alias("place"))
 
@@ -239,16 +239,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one text. An empty table gives an empty table; other columns are ignored.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    passed = checkpointed(base.mapInArrow(_digests_and_sketch(width), _PASS))
+    passed = written(base.mapInArrow(_digests_and_sketch(width), _PASS))
     sets = passed.filter("part IS NULL").select("doc_id", "n_shingles", "digest_a", "digest_b")
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(passed.filter("part IS NOT NULL").select("part", "block", "cells")))
     key = ["n_shingles", "digest_a", "digest_b"]
-    classes = checkpointed(sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
+    classes = written(sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
     firsts = classes.filter("id IS NOT NULL").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
 
     named = base.select(F.col("doc_id").alias("id"), "text")
     tokens = named.mapInArrow(_prefixes(sketch, width, percent), "id long, tokens array<bigint>").join(firsts, "id")
-    members = checkpointed(neighbourhoods(tokens, percent))
+    members = written(neighbourhoods(tokens, percent))
     weight = F.greatest(F.col("n_shingles"), F.lit(1))
     places = members.groupBy("place").agg(F.sum(weight).alias("_w"))
     small = F.col("_w") <= block_shingles
@@ -257,9 +257,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     placed = members.join(places, "place").withColumn("blocks", F.when(small, 1).otherwise(F.ceil(F.col("_w") / block_shingles)).cast("int"))
     unit = F.when(small, F.pmod(F.col("place"), F.lit(units))).otherwise(F.col("place"))
     placed = placed.select("id", unit.alias("unit"), "blocks", F.when(small, -1).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"))
-    placed = checkpointed(placed.distinct())
+    placed = written(placed.distinct())
     first_round = placed.join(named, "id").select("id", "unit", "block", "text", F.col("id").alias("known"), F.lit(0).alias("part"))
-    links = checkpointed(first_round.groupBy("unit", "block").applyInPandas(_unit_links(width, percent), "a long, b long"))
+    links = written(first_round.groupBy("unit", "block").applyInPandas(_unit_links(width, percent), "a long, b long"))
     if total["large"]:
         labels = connected_components(links, "a", "b")
         cut = placed.filter("block >= 0").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")

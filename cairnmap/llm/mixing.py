@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Weights by the rank of a source, repeating, and the most often a source is read.
@@ -95,7 +95,7 @@ def plan_mix(docs: DataFrame, size: str, source: str = "source", doc_id: str = "
     and ties in the order key leave the result the same.
     """
     keyed = docs.withColumn("_key", order_key(F.col(doc_id))).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    per_bucket = checkpointed(keyed.groupBy(F.col(source).alias("source"), "_bucket").agg(F.sum(size).alias("_words")))
+    per_bucket = written(keyed.groupBy(F.col(source).alias("source"), "_bucket").agg(F.sum(size).alias("_words")))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_offset"))
     targets = source_targets(per_bucket, "source", "_words", weights, epochs)
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
 def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
                weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target and taken (words, repeats counted); see ``plan_mix``."""
-    sized = checkpointed(docs.select(doc_id, source, word_count(F.col(text)).alias("_size")))
+    sized = written(docs.select(doc_id, source, word_count(F.col(text)).alias("_size")))
     planned = plan_mix(sized, "_size", source, doc_id, weights, epochs)
     return planned.select(F.col(doc_id).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                           F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

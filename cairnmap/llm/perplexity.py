@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.llm.bytetext import over_texts, split_words
-from cairnmap.session import checkpointed, scratch_folder
+from cairnmap.session import written, scratch_folder
 
 # A document's log perplexity may exceed the trusted texts' median of its language by this many times the
 # distance of the median from this quantile.
@@ -130,7 +130,7 @@ def log_probabilities(grams: DataFrame, trusted: str = "trusted") -> DataFrame:
     sums = _exploded(grams, trusted).groupBy("key").agg(F.sum(part).alias("c3"))
     c = F.col("key").bitwiseAND(F.lit(255))
     b = F.shiftright("key", 8).bitwiseAND(F.lit(255))
-    tri = checkpointed(sums.select("key", "c3", F.shiftright("key", 16).alias("a"), b.alias("b"), c.alias("c")))
+    tri = written(sums.select("key", "c3", F.shiftright("key", 16).alias("a"), b.alias("b"), c.alias("c")))
     seen = tri.filter("c3 > 0")
     bi = seen.groupBy("b", "c").agg(F.count("*").alias("c2"))
     uni = bi.groupBy("c").agg(F.count("*").alias("c1"))
@@ -145,7 +145,7 @@ def log_probabilities(grams: DataFrame, trusted: str = "trusted") -> DataFrame:
     p1 = F.coalesce(_own("c1", d1) / max(total, 1), nil) + spare / VOCABULARY
     p2 = F.coalesce(_own("c2", d2) / F.col("total_2"), nil) + F.coalesce("gamma_2", F.lit(1.0)) * p1
     p3 = F.when((F.col("c3") > 0) & F.col("total_3").isNotNull(), _own("c3", d3) / F.col("total_3")).otherwise(nil) + F.coalesce("gamma_3", F.lit(1.0)) * p2
-    return checkpointed(joined.select("key", F.log(p3).alias("logp")))
+    return written(joined.select("key", F.log(p3).alias("logp")))
 
 
 def score_perplexity(grams: DataFrame, logp: DataFrame, id_col: str, broadcast_rows: int = 1 << 20) -> DataFrame:
@@ -178,10 +178,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep: list[str], text:
     base = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
     counted = count_grams(base.withColumn("_doc", F.col(doc_id)), ["_row", "_lang", "_doc", *keep], text)
     marks = labels.groupBy(F.col("doc_id").alias("_label_of")).agg(F.max(label).alias("_label"))
-    grams = checkpointed(counted.join(marks, counted["_doc"] == marks["_label_of"], "left")
+    grams = written(counted.join(marks, counted["_doc"] == marks["_label_of"], "left")
                          .withColumn("trusted", F.coalesce(F.col("_label") == 1, F.lit(False))).drop("_label_of", "_label", "_doc"))
     scored = score_perplexity(grams.select("_row", "grams"), log_probabilities(grams.select("grams", "trusted")), "_row")
-    rows = checkpointed(grams.drop("grams").join(scored, "_row", "left"))
+    rows = written(grams.drop("grams").join(scored, "_row", "left"))
     good = rows.filter(F.col("trusted") & F.col("n_tokens").isNotNull())
 
     def figures(frame: DataFrame, value: str, at: float, name: str, keys: list[str]) -> DataFrame:

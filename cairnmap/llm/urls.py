@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 # Fixed values: (verdict, rule host, rule path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -59,16 +59,16 @@ def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int = ROUNDS,
     seeds = hosts.filter(seed).count()
     start = F.when(F.col(seed), F.lit(1.0 / max(seeds, 1))).otherwise(F.lit(0.0))
     out = links.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = checkpointed(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    shares = written(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     ranks = hosts.select("host", start.alias("start"), start.alias("rank"))
     if not seeds or shares.isEmpty():
         return ranks.select("host", "rank")
     for _ in range(rounds):
         sent = shares.join(ranks, shares["src"] == ranks["host"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        moved = checkpointed(ranks.join(sent, ranks["host"] == sent["dst"], "left").select("host", "start", F.coalesce("got", F.lit(0.0)).alias("got")))
+        moved = written(ranks.join(sent, ranks["host"] == sent["dst"], "left").select("host", "start", F.coalesce("got", F.lit(0.0)).alias("got")))
         lost = 1.0 - damping * moved.agg(F.sum("got")).first()[0]
         ranks = moved.select("host", "start", (damping * F.col("got") + lost * F.col("start")).alias("rank"))
-    return checkpointed(ranks.select("host", "rank"))
+    return written(ranks.select("host", "rank"))
 
 
 def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, blocked_words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
@@ -78,7 +78,7 @@ def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
     allow rule for all paths fits. ``blocked`` is true for blocked seeds and for hosts whose distrust exceeds
     ``MIN_DISTRUST`` and their trust, unless they are trusted seeds.
     """
-    links = checkpointed(host_links(pages, url, html))
+    links = written(host_links(pages, url, html))
     named = pages.select(host_of(F.col(url)).alias("host")).filter("host <> ''").distinct()
     hosts = named.union(links.select("src")).union(links.select("dst")).distinct()
     words = F.lit(False)
@@ -88,7 +88,7 @@ def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
     for verdict, on, under in rules:
         if verdict == "allow" and under == "/":
             allowed = allowed | (F.col("host") == on) | F.col("host").endswith("." + on)
-    seeded = checkpointed(hosts.select("host", words.alias("bad"), (allowed & ~words).alias("good")))
+    seeded = written(hosts.select("host", words.alias("bad"), (allowed & ~words).alias("good")))
     trust = spread(seeded, links, "good").withColumnRenamed("rank", "trust")
     distrust = spread(seeded, links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad").withColumnRenamed("rank", "distrust")
     judged = seeded.join(trust, "host").join(distrust, "host")
