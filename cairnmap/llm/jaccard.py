@@ -28,10 +28,11 @@ from cairnmap.llm.bytetext import ASCII_SPACE, LOWER, distinct_sets, mix, over_t
 from cairnmap.session import written
 
 WIDTH, PERCENT = 5, 75
-SKETCH_BITS, SKETCH_BLOCKS, FAN_IN = 21, 64, 64
-GROUPS = 128
+SKETCH_BITS, SKETCH_BLOCKS, FAN_IN = 22, 64, 64
+# Hash groups of a count vector: half the mean set size of a block, within these limits.
+GROUPS = (64, 4_096)
 # Shingles in a block: what one task holds at a time.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 21
 LEAF, FAN_OUT = 16, 16
 
 
@@ -76,9 +77,10 @@ class RTree:
         return self.order[at]
 
 
-def group_counts(members: np.ndarray, first: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def group_counts(members: np.ndarray, first: np.ndarray) -> np.ndarray:
+    groups = int(np.clip(len(members) // (2 * max(1, len(first) - 1)), *GROUPS))
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    flat = owner * groups + (members >> np.uint64(57)).astype(np.int64) % groups
+    flat = owner * groups + ((members >> np.uint64(32)).astype(np.int64) * groups >> 32)
     return np.bincount(flat, minlength=(len(first) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
@@ -138,14 +140,18 @@ def _digests_and_sketch(width: int):
     names = [x.split()[0] for x in _PASS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
         for piece, texts in text_chunks(batches):
             members, first = text_sets(texts, width)
-            total += np.bincount(_cell(members), minlength=len(total))
+            held.append(_cell(members))
+            if sum(map(len, held)) >= len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held = []
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members + np.uint64(salt)))]) for salt in (17, 91)]
             columns = [piece.column(piece.schema.get_field_index("doc_id")), pa.array(np.diff(first), pa.int64())]
             columns += [pa.array((x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]
             yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(texts), k) for k in kinds[4:]], names=names)
+        total += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(total))
         cells = _cell_bytes(total).reshape(SKETCH_BLOCKS, -1)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
