@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at a time; a longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,12 +39,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, kept for the next chunk of usual size."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    n += -n % (1 << 18)
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    found = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    if n <= 2 * CHUNK_BYTES:
+        _POWERS[:] = found
+    return found
 
 
 @dataclass
@@ -79,7 +86,7 @@ def split_words(texts: list[bytes | None], delimiter: np.ndarray = ASCII_SPACE,
     word = ~delimiter[joined]
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
-    up, down = _powers(max(16, int(len(joined)).bit_length()))
+    up, down = _powers(len(joined))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[fold[joined]] * up[: len(joined)])])
     hashes = mix((sums[end] - sums[start]) * down[start])
     return Words(joined, hashes, start, end, np.searchsorted(start, text_start), text_start)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions.graph import connected_components, roots
-from cairnmap.llm.bytetext import ASCII_SPACE, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
+from cairnmap.llm.bytetext import ASCII_SPACE, CHUNK_BYTES, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
 from cairnmap.session import written
 
 WIDTH, PERCENT = 5, 75
@@ -43,6 +43,14 @@ def text_sets(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray
     return distinct_sets(hashes, owner, len(texts))
 
 
+def many_sets(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """``text_sets`` of a block, a bounded number of bytes at a time."""
+    part = np.cumsum([len(t or b"") for t in texts]) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+    found = [text_sets(texts[a:b], width) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate([m for m, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in found]))])
+
+
 def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
     """Smallest overlap o with 100 * o >= percent * (a + b - o)."""
     return -((-percent * (a + b)) // (100 + percent))
@@ -90,7 +98,7 @@ def forest(texts: list[bytes], parts: np.ndarray, known: np.ndarray, width: int
     ``known`` are component labels the texts have already. With two values in ``parts`` only texts of
     different parts are compared.
     """
-    members, first = text_sets(texts, width)
+    members, first = many_sets(texts, width)
     sizes = np.diff(first)
     parent = np.arange(len(texts))
 
