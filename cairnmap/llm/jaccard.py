@@ -234,7 +234,10 @@ def neighbourhoods(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     flat = rows.select("id", "n_shingles", F.explode("tokens").alias("token"))
     shared = flat.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     several = written(flat.join(shared, "token"))
-    banded = several.withColumn("band", F.explode(_band_array(percent)))
+    # tokens held by the same texts say the same: one of them is kept
+    alike = several.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_ids"))
+    kept = alike.groupBy("n", "_lo", "_hi", "_ids").agg(F.min("token").alias("token")).select("token")
+    banded = written(several.join(kept, "token")).withColumn("band", F.explode(_band_array(percent)))
     leads = banded.groupBy("token", "band").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
     node = lambda i: F.xxhash64("band", i)  # noqa: E731  equal hashes would only merge neighbourhoods
     stars = written(banded.join(leads, ["token", "band"]).select("id", "n_shingles", node("id").alias("node"), node("lead").alias("hub")).distinct())
