@@ -56,23 +56,30 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): each node (a long) of an edge between two nodes with the smallest node it is connected to.
 
-    Tasks first contract their own edges to stars. Then every round takes the smallest label among a node's
-    neighbours and the label of that label, so paths halve; rounds end when no label changes. Edges are
-    never gathered per node: minima are partial sums, and a hub's edges are an ordinary skewed join. Each
-    round is written to the shared folder. Null ends and loops are ignored.
+    Tasks first contract their own edges to stars. Then, in every round, each node takes the smallest of itself and
+    its neighbours, and what that one takes, and the edges are drawn anew between what their ends have become; ends that
+    became the same drop out. Nodes and edges shrink from round to round, and the rounds' maps are
+    composed from the last, smallest one back. Edges are never gathered per node: minima are partial sums, and a
+    hub's edges are an ordinary skewed join. Null ends and loops are ignored.
     """
     pairs = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a <> b")
-    stars = pairs.mapInPandas(_contract, "a long, b long")
-    both = written(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-                        .select("e.*").distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("component"))
-    labels = written(labels)
+    maps: list[DataFrame] = []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_low"))
-        hop = labels.select(F.col("node").alias("_via"), F.col("component").alias("_far"))
-        moved = written(lower.join(hop, lower["_low"] == hop["_via"], "left").select(
-            "node", F.least("_low", F.coalesce("_far", "_low")).alias("component"), "_old"))
-        labels = moved.select("node", "component")
-        if moved.filter("component <> _old").isEmpty():
-            return labels
+        stars = pairs.mapInPandas(_contract, "a long, b long").distinct()
+        links = written(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"))
+        lowest = links.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("low"))
+        hop = lowest.select(F.col("node").alias("_via"), F.col("low").alias("_far"))
+        step = written(lowest.join(hop, lowest["low"] == hop["_via"]).select("node", F.col("_far").alias("component")))
+        maps.append(step)
+        one_way = links.filter("a > b")
+        to_a, to_b = (step.select(F.col("node").alias(f"_n{x}"), F.col("component").alias(f"_c{x}")) for x in "ab")
+        pairs = written(one_way.join(to_a, one_way["a"] == to_a["_na"]).join(to_b, one_way["b"] == to_b["_nb"]).filter("_ca <> _cb").select(
+            F.col("_ca").alias("a"), F.col("_cb").alias("b")))
+        if pairs.isEmpty():
+            break
+    found = maps.pop()
+    while maps:
+        step = maps.pop()
+        later = found.select(F.col("node").alias("_via"), F.col("component").alias("_last"))
+        found = written(step.join(later, step["component"] == later["_via"], "left").select("node", F.coalesce("_last", "component").alias("component")))
+    return found
