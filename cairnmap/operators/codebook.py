@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.operators.agglomerative import agglomerative
 from cairnmap.operators.hdbscan import hdbscan
 
 METHODS = {"hdbscan": hdbscan, "agglomerative": agglomerative}
-# Parameters each method takes; others are left out.
-PARAMETERS = {
-    "hdbscan": ("min_cluster_size", "min_samples", "cluster_selection_method", "cluster_selection_epsilon"),
-    "agglomerative": ("n_clusters", "linkage"),
-}
 
 
 def run_method(method: str, coordinates: DataFrame, params: dict) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown clustering method {method!r}")
-    return METHODS[method](coordinates, **{k: v for k, v in params.items() if k in PARAMETERS[method]})
+    # parameters the method does not name are meant for others
+    accepted = signature(METHODS[method]).parameters
+    return METHODS[method](coordinates, **{k: v for k, v in params.items() if k in accepted})
 
 
 def cluster_nodes(codebook: DataFrame, method: str, params: dict) -> DataFrame:

@@ -86,12 +86,15 @@ def attempts(requests: DataFrame, call: Callable[[list[str]], list[str]], schema
                     waiting = again
                 yield pd.DataFrame(rows, columns=["request_id", "attempt", "prompt", "raw_text", "parsed"])
 
-    return requests.select(F.col("request_id").cast("string").alias("request_id"), "prompt").mapInPandas(ask, _ATTEMPTS)
+    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "prompt")
+    # prompts often come out of an aggregation, which adaptive execution makes one partition
+    spread = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism, "request_id")
+    return spread.mapInPandas(ask, _ATTEMPTS)
 
 
-def results(tries: DataFrame, schema: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """The typed reply of each request; a request with none fails the job."""
-    best = tries.groupBy("request_id").agg(F.max("parsed").alias("_json"))
+def results(tries: DataFrame, schema: str, max_attempts: int = MAX_ATTEMPTS, by: str = "attempt") -> DataFrame:
+    """The typed reply of each request's latest call that parsed, calls being numbered by ``by``; a request with none fails the job."""
+    best = tries.groupBy("request_id").agg(F.max_by("parsed", F.when(F.col("parsed").isNotNull(), F.col(by))).alias("_json"))
     failed = F.concat(F.lit(f"no valid reply after {max_attempts} attempts for request "), F.col("request_id"))
     return best.withColumn(
         "_json", F.when(F.col("_json").isNull(), F.raise_error(failed)).otherwise(F.col("_json"))

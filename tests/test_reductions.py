@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from cairnmap.operators import pca, som, umap
@@ -78,10 +79,9 @@ def test_small_layouts(points, n):
     assert y.shape == (n, 3) and np.isfinite(y).all()
 
 
-def test_auto_grid():
-    assert som.auto_grid_size(1) == (2, 2)
-    side, other = som.auto_grid_size(1000)
-    assert side == other and 9 <= side <= 14
+def test_auto_grid(spark):
+    sides = [r.s for r in spark.createDataFrame([(1,), (1000,)], "n long").select(som.auto_grid_side(F.col("n")).alias("s")).collect()]
+    assert sides[0] == 2 and 9 <= sides[1] <= 14
 
 
 def test_map_is_ordered_and_repeats(points, blobs):
