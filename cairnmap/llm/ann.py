@@ -165,12 +165,13 @@ def visit(queries: DataFrame, placed: DataFrame, tree: Tree, visits: int, k: int
             yield pd.DataFrame(rows, columns=["id", "v", "leaf"])
 
     blocks = placed.select("leaf", "block").distinct()
-    asked = queries.select("id", "v").mapInPandas(walk, "id long, v array<double>, leaf long").join(blocks, "leaf")
+    # the optimizer takes the walk's output for as small as its input, so the joins are told to shuffle
+    asked = queries.select("id", "v").mapInPandas(walk, "id long, v array<double>, leaf long").join(blocks.hint("merge"), "leaf")
     # queries of one block are dealt over groups, too
     parts = asked.groupBy("leaf", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = asked.join(parts, ["leaf", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = asked.join(parts.hint("merge"), ["leaf", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     again = parts.select(*[F.col(c).alias(f"to_{c}") for c in ("leaf", "block", "parts")])
-    copied = placed.join(again, (F.col("leaf") == F.col("to_leaf")) & (F.col("block") == F.col("to_block"))).select(
+    copied = placed.join(again.hint("merge"), (F.col("leaf") == F.col("to_leaf")) & (F.col("block") == F.col("to_block"))).select(
         F.col("id").alias("to_id"), F.col("v").alias("to_v"), "to_leaf", "to_block", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_part"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

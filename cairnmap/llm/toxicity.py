@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnmap.llm.bytetext import LOWER, NO_LETTER, Words, over_texts, split_words
+from cairnmap.llm.bytetext import CHUNK_BYTES, LOWER, NO_LETTER, Words, over_texts, split_words
 
 BUCKETS_BITS = 18
 # Labelled rows of each label that training may use, chosen by a hash of the text.
@@ -66,11 +66,18 @@ def score_texts(texts: list[bytes | None], weights: np.ndarray, bias: float):
 def fit(texts: list[bytes | None], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias, by Adam on the whole (bounded) sample; deterministic."""
     weights, bias = np.zeros(1 << BUCKETS_BITS, np.float32), -6.0
-    words = _split(texts)
-    number, first = sentences(words)
-    if not len(first) or toxic.min() == toxic.max():
+    if not len(texts) or toxic.min() == toxic.max():
+        return weights, bias
+    parts, texts_done, sentences_done = [], 0, 0
+    size = np.cumsum([len(t or b"") for t in texts]) // CHUNK_BYTES
+    for chunk in np.split(np.arange(len(texts)), np.flatnonzero(size[1:] != size[:-1]) + 1):
+        words = _split([texts[i] for i in chunk])
+        number, first = sentences(words)
+        parts.append((buckets(words), words.owner + texts_done, number + sentences_done, words.owner[first] + texts_done))
+        texts_done, sentences_done = texts_done + len(chunk), sentences_done + len(first)
+    at, owner, number, doc = (np.concatenate(x) for x in zip(*parts))
+    if not len(doc):
         return weights, bias
-    at, owner = buckets(words), words.owner
     pairs = np.unique(owner * np.int64(1 << BUCKETS_BITS) + at)
     bucket, holder = pairs & ((1 << BUCKETS_BITS) - 1), pairs >> BUCKETS_BITS
     n, toxic_n, share = len(texts), np.bincount(bucket, toxic[holder] == 1, minlength=len(weights)), (toxic == 1).mean()
@@ -82,10 +89,10 @@ def fit(texts: list[bytes | None], toxic: np.ndarray) -> tuple[np.ndarray, float
     column, row = dense[at[used]], number[used]
     with_, odd = docs_with[used_bucket], toxic_n[used_bucket]
     w = np.log((odd + 0.5) / (share * n + 1)) - np.log((with_ - odd + 0.5) / ((1 - share) * n + 1))  # start: log odds
-    doc, bad = owner[first], toxic == 1
+    bad = toxic == 1
     mean, spread = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, EPOCHS + 1):
-        p = _sigmoid(np.bincount(row, w[column], minlength=len(first)) + bias)
+        p = _sigmoid(np.bincount(row, w[column], minlength=len(doc)) + bias)
         safe = np.bincount(doc, np.log1p(-p), minlength=len(texts))
         prob = np.clip(-np.expm1(safe), 1e-9, 1.0)
         # d loss / d z of a sentence: p in a clean document, p * (1 - 1 / prob) in a toxic one
