@@ -3,8 +3,11 @@
 Vectors are lifted by one coordinate so that the largest inner product is the smallest distance. The tree
 is fitted on a bounded sample; every row is sent to its leaf. A query walks the tree with a priority
 queue of unexplored branches and visits its best leaves; how many it visits is widened until queries set aside
-reach the wanted recall against brute force over all rows. Leaves are cut into bounded blocks, so a
-crowded leaf is many tasks, and of equal vectors only the first k + 1 ids can be answers.
+reach the wanted recall against brute force over all rows. The walk of those queries gives the order of all
+leaves once, so widening only looks up at which visit each true answer turns up. Leaves that follow each other
+in the tree are searched together, up to a bounded number of rows; a leaf with more is cut into blocks. A query
+is sent once to each group of leaves it visits, with a bitmap of its leaves, and of equal vectors only the first
+k + 1 ids can be answers.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cairnmap.functions.frames import from_pandas
 from cairnmap.functions.ranking import top_per_group
 from cairnmap.session import written
 
@@ -24,7 +28,8 @@ from cairnmap.session import written
 SAMPLE_ROWS, BRANCHES, LEAF_SAMPLE = 20_000, 8, 48
 # Queries that the number of visits is calibrated on, and the share of true neighbours they have to find.
 CALIBRATION_QUERIES, RECALL = 200, 0.95
-BLOCK_ROWS = 2_048
+# Rows and queries that one task compares, and queries whose scores it holds at a time.
+BLOCK_ROWS, BLOCK_QUERIES, HELD_QUERIES = 8_192, 16_384, 256
 
 
 @dataclass
@@ -58,15 +63,19 @@ class Tree:
                 todo += [(child, rows[near == i]) for i, child in enumerate(node.children)]
         return out
 
-    def best_leaves(self, query: np.ndarray, visits: int) -> list[int]:
-        """The leaves a best-bin-first walk reaches, in order; a leaf's place in the queue is its centre's distance."""
+    def best_leaves(self, query: np.ndarray, visits: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The leaves a best-bin-first walk reaches, in order; a leaf's place in the queue is its centre's distance.
+
+        The walk goes on past ``visits`` until the leaves hold ``least`` rows by their ``counts``.
+        """
         q = np.append(query, 0.0)
         queue: list[tuple[float, int, Node | int]] = [(0.0, 0, self.root)]
-        found, order = [], 0
-        while queue and len(found) < visits:
+        found, order, rows = [], 0, 0
+        while queue and (len(found) < visits or rows < least):
             _, _, node = heapq.heappop(queue)
             if not isinstance(node, Node):
                 found.append(node)
+                rows += 0 if counts is None else int(counts[node])
                 continue
             far = ((node.centers - q) ** 2).sum(axis=1)
             for d, child in zip(far, node.children):
@@ -155,38 +164,93 @@ def brute_force(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return merge_best(base.select("id", "v").mapInPandas(run, _FOUND), k)
 
 
-def visit(queries: DataFrame, placed: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
-    """The best k of each query (id, v) among the rows of the ``visits`` leaves it reaches; ``placed`` has id, v, leaf, block."""
-    shared = placed.sparkSession.sparkContext.broadcast(tree)
+def leaf_groups(counts: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each leaf and blocks of each group: leaves in tree order together up to ``block_rows``, larger ones alone."""
+    group, blocks, held = np.zeros(len(counts), np.int64), [], None
+    for leaf, n in enumerate(counts.tolist()):
+        if n > block_rows or held is None or held + n > block_rows:
+            blocks.append(max(1, -(-n // block_rows)))
+            held = None if n > block_rows else n
+        else:
+            held += n
+        group[leaf] = len(blocks) - 1
+    return group, np.array(blocks, np.int64)
+
+
+def block_scores(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The best k of each query (id, v, bitmap of leaves) among the rows (to_id, to_v, to_leaf) of leaves it visits."""
+    rows = rows.sort_values(["to_leaf", "to_id"])
+    base, ids, leaf = _stack(rows["to_v"]), rows["to_id"].to_numpy(np.int64), rows["to_leaf"].to_numpy(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(leaf, prepend=-1)), len(leaf))
+    for at in range(0, len(queries), HELD_QUERIES):
+        some = queries.iloc[at:at + HELD_QUERIES]
+        asked = _stack(some["v"])
+        bits = np.stack([np.frombuffer(b, np.uint8) for b in some["bitmap"]])
+        scores = np.full((len(some), len(ids)), -np.inf)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            here = np.flatnonzero(bits[:, leaf[a] >> 3] >> (7 - (leaf[a] & 7)) & 1)
+            if len(here):
+                scores[here, a:b] = _products(asked[here], base[a:b])
+        yield _best(scores, some["id"].to_numpy(np.int64), ids, k)
+
+
+def visit(queries: DataFrame, at: DataFrame, tree: Tree, counts: np.ndarray, visits: int, k: int,
+          block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """The best k of each query (id, v) among the rows of the ``visits`` leaves it reaches; ``at`` has id, v, leaf.
+
+    ``counts`` are the rows of each leaf. What the driver holds has one entry per leaf, so the sample bounds it.
+    """
+    spark = at.sparkSession
+    group, blocks = leaf_groups(counts, block_rows)
+    shared = spark.sparkContext.broadcast((tree, group, counts))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, group, counts = shared.value
         for batch in batches:
-            rows = [(i, v, leaf) for i, v in zip(batch["id"], batch["v"]) for leaf in shared.value.best_leaves(np.asarray(v, float), visits)]
-            yield pd.DataFrame(rows, columns=["id", "v", "leaf"])
-
-    blocks = placed.select("leaf", "block").distinct()
-    # the optimizer takes the walk's output for as small as its input, so the joins are told to shuffle
-    asked = queries.select("id", "v").mapInPandas(walk, "id long, v array<double>, leaf long").join(blocks.hint("merge"), "leaf")
-    # queries of one block are dealt over groups, too
-    parts = asked.groupBy("leaf", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = asked.join(parts.hint("merge"), ["leaf", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    again = parts.select(*[F.col(c).alias(f"to_{c}") for c in ("leaf", "block", "parts")])
-    copied = placed.join(again.hint("merge"), (F.col("leaf") == F.col("to_leaf")) & (F.col("block") == F.col("to_block"))).select(
-        F.col("id").alias("to_id"), F.col("v").alias("to_v"), "to_leaf", "to_block", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_part"))
+            groups, bitmaps = [], []
+            for v in batch["v"]:
+                leaves = np.array(tree.best_leaves(np.asarray(v, np.float64), visits, counts, k + 1), np.int64)
+                bits = np.zeros(tree.leaves, bool)
+                bits[leaves] = True
+                groups.append(np.unique(group[leaves]))
+                bitmaps.append(np.packbits(bits).tobytes())
+            yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "groups": groups, "bitmap": bitmaps})
+
+    vector = at.schema["v"].dataType.simpleString()
+    walked = written(queries.select("id", "v").mapInPandas(walk, f"id long, v {vector}, groups array<long>, bitmap binary"))
+    asking = {r["g"]: r["count"] for r in walked.select(F.explode("groups").alias("g")).groupBy("g").count().collect()}
+    plan = [(g, int(n), -(-asking[g] // block_queries)) for g, n in enumerate(blocks) if g in asking]
+    small = lambda rows, *names: F.broadcast(from_pandas(
+        spark, pd.DataFrame(rows, columns=names, dtype="int64"), ", ".join(f"{n} long" for n in names)))
+    plan, of_leaf = small(plan, "g", "blocks", "parts"), small(list(enumerate(group.tolist())), "leaf", "g")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    share = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    asked = walked.select("id", "v", "bitmap", F.explode("groups").alias("g")).join(plan, "g").select(
+        "id", "v", "bitmap", "g", share("parts").alias("part"), copies("blocks").alias("block"))
+    placed = at.join(of_leaf, "leaf").join(plan, "g").select(
+        F.col("id").alias("to_id"), F.col("v").alias("to_v"), F.col("leaf").alias("to_leaf"), F.col("g").alias("to_g"),
+        share("blocks").alias("to_block"), copies("parts").alias("to_part"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return _best(_products(_stack(left["v"]), _stack(right["to_v"])), left["id"].to_numpy(np.int64), right["to_id"].to_numpy(np.int64), k)
+        return pd.concat(block_scores(left, right, k))
 
-    groups = dealt.select("id", "v", "leaf", "block", "part").groupBy("leaf", "block", "part").cogroup(copied.groupBy("to_leaf", "to_block", "to_part"))
-    return merge_best(groups.applyInPandas(score, _FOUND), k)
+    pairs = asked.groupBy("g", "block", "part").cogroup(placed.groupBy("to_g", "to_block", "to_part"))
+    return merge_best(pairs.applyInPandas(score, _FOUND), k)
 
 
-def recall(found: DataFrame, truth: DataFrame) -> float:
-    """Share of the true answers that were found."""
-    hits = truth.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
-    return hits.agg(F.coalesce(F.sum("hit") / F.count("*"), F.lit(1.0))).first()[0]
+def needed_visits(trial: pd.DataFrame, truth: pd.DataFrame, tree: Tree, wanted: float) -> int:
+    """The fewest visits at which the trial queries (id, v) have found ``wanted`` of their true answers (query_id, v).
+
+    Both are of a bounded size. A visit more adds each query's next leaf, so the walks are looked up, not repeated.
+    """
+    if not len(truth):
+        return min(1, tree.leaves)
+    place = {i: np.argsort(tree.best_leaves(np.asarray(v, np.float64), tree.leaves)) for i, v in zip(trial["id"], trial["v"])}
+    leaf = tree.leaf_of(_stack(truth["v"]))
+    found_at = np.sort([place[q][at] for q, at in zip(truth["query_id"], leaf)])
+    return int(found_at[int(np.ceil(wanted * len(found_at))) - 1]) + 1
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
@@ -196,15 +260,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     Rows whose vector is null, zero, or holds a null, NaN or infinite component take no part, nor do rows
     whose length is not the most common one (ties: the longer) or whose id is null; of rows that repeat an
     id one with the smallest vector counts. A query with fewer than k candidates gets all of those found. Visits
-    double until the calibration queries (the first by a hash of the id) reach ``wanted``, at most all leaves, which
-    is exact. An empty table gives an empty table; other columns are ignored.
+    are widened until the calibration queries (the first by a hash of the id) reach ``wanted``, at most all leaves,
+    which is exact. An empty table gives an empty table; other columns are ignored.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), is_query.alias("q"))
     rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull())
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     rows = rows.filter(F.size("v") == (width["w"] if width else 0))
     rows = written(rows.groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q"))
-    sample = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows).select("v").toPandas()
+    first = lambda df, n: df.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n)
+    sample = first(rows, sample_rows).select("v").toPandas()
     tree = build_tree(_stack(sample["v"]) if len(sample) else np.zeros((0, 1)))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
     base = top_per_group(rows.withColumn("h", F.xxhash64("v")), ["h", "v"], [F.col("id")], k + 1, "copy").select("id", "v")
@@ -214,13 +281,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             if len(batch):
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "leaf": shared.value.leaf_of(_stack(batch["v"]))})
 
-    at = written(base.mapInPandas(leaves, "id long, v array<double>, leaf long"))
-    crowd = at.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    placed = written(at.join(crowd, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    at = written(base.mapInPandas(leaves, f"id long, v {kind}, leaf long"))
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in at.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
     queries = rows.filter("q").select("id", "v")
-    trial = written(queries.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CALIBRATION_QUERIES).select("id", "v"))
-    truth = written(brute_force(trial, placed, k))
-    visits = min(8, tree.leaves)
-    while visits < tree.leaves and recall(visit(trial, placed, tree, visits, k), truth) < wanted:
-        visits = min(2 * visits, tree.leaves)
-    return visit(queries, placed, tree, visits, k)
+    trial = written(first(queries, CALIBRATION_QUERIES).select("id", "v"))
+    truth = brute_force(trial, at, k).select("query_id", "vec_id")
+    truth = truth.hint("broadcast").join(at, F.col("vec_id") == F.col("id")).select("query_id", "v")  # k rows per trial query
+    visits = needed_visits(trial.toPandas(), truth.toPandas(), tree, wanted)
+    return visit(queries, at, tree, counts, visits, k)
