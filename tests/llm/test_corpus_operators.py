@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,22 @@ def test_pipeline(spark):
     per_bin = packed.filter("bin_id IS NOT NULL").groupBy("bin_id").agg(F.sum("n_words").alias("n"), F.count("*").alias("p"), F.countDistinct("cluster").alias("c"))
     assert per_bin.filter("n > 2048 OR p <> c").count() == 0
     assert packed.agg(F.sum("n_words")).first()[0] == docs.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+
+
+def test_leaf_groups_and_blocks_against_brute_force():
+    group, blocks = ann.leaf_groups(np.array([3, 4, 0, 25, 2, 9]), 10)
+    assert group.tolist() == [0, 0, 0, 1, 2, 3] and blocks.tolist() == [1, 3, 1, 1]
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    tree = ann.build_tree(x, leaf_rows=16)
+    leaf = tree.leaf_of(x)
+    counts = np.bincount(leaf, minlength=tree.leaves)
+    some = tree.best_leaves(x[0], 1, counts, 60)
+    assert counts[some].sum() >= 60 and counts[some[:-1]].sum() < 60
+    bits = np.zeros(tree.leaves, bool)
+    bits[some] = True
+    asked = pd.DataFrame({"id": [0], "v": [x[0]], "bitmap": [np.packbits(bits).tobytes()]})
+    rows = pd.DataFrame({"to_id": np.arange(400), "to_v": list(x), "to_leaf": leaf})
+    got = pd.concat(ann.block_scores(asked, rows, 5))["vec_id"].tolist()
+    seen = [i for i in range(1, 400) if leaf[i] in some]
+    assert got == sorted(seen, key=lambda i: -(x[i] @ x[0]))[:5]
