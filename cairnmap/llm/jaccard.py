@@ -5,6 +5,7 @@
 2. Two sets of similarity t share one of the first n - ceil(t * n) + 1 members under any common order of all
    shingles. The order is by frequency in a sketch of all texts (rarest first, ties by hash), so passages
    that many texts share come last. Texts that share such a member form neighbourhoods.
+   A neighbourhood larger than a block is connected anew by the shingles that are rarest within it, counted exactly.
 3. A neighbourhood is cut into blocks of bounded bytes. In a block the sets' members are hashed into groups; the
    group counts are points of an R-tree whose boxes carry the largest count per group. The sum of the
    smaller coordinates bounds the overlap of a text with all texts in a box; what survives is verified on
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cairnmap.functions.graph import connected_components, roots
 from cairnmap.llm.bytetext import ASCII_SPACE, CHUNK_BYTES, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
@@ -199,8 +200,21 @@ def _prefixes(sketch, width: int, percent: int):
             out.append(members[a:b][np.argsort(often[a:b], kind="stable")[:need]])  # members ascend, so ties go by hash
         ends = np.cumsum([0] + [len(x) for x in out[1:]]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64), pa.int64()))
-        return pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("id")), tokens.cast(pa.list_(pa.int64()))],
-                                          schema=pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+        return pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("id")), pa.array(np.diff(first), pa.int64()), tokens.cast(pa.list_(pa.int64()))],
+                                          schema=pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+
+    return over_texts(fn)
+
+
+def _all_shingles(width: int):
+    """Rows of id, place and text as one row per member of the text's set; ``row`` is the set's size and 32 bits of its digest."""
+    def fn(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        members, first = text_sets(texts, width)
+        sums, sizes = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members))]), np.diff(first)
+        row = sizes.astype(np.int64) << 32 | ((sums[first[1:]] - sums[first[:-1]]) >> np.uint64(32)).astype(np.int64)
+        owner = pa.array(np.repeat(np.arange(len(texts)), sizes))
+        kept = [piece.column(piece.schema.get_field_index(c)).take(owner) for c in ("id", "place")]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(row).take(owner), pa.array(members.view(np.int64))], names=["id", "place", "row", "token"])
 
     return over_texts(fn)
 
@@ -238,6 +252,11 @@ def neighbourhoods(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     alike = several.groupBy("token").agg(F.count("*").alias("n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_ids"))
     kept = alike.groupBy("n", "_lo", "_hi", "_ids").agg(F.min("token").alias("token")).select("token")
     banded = written(several.join(kept, "token")).withColumn("band", F.explode(_band_array(percent)))
+    return _connected(banded)
+
+
+def _connected(banded: DataFrame) -> DataFrame:
+    """(id, n_shingles, place): the texts of a ``band`` that shared tokens connect; ``banded`` has id, n_shingles, token and band."""
     leads = banded.groupBy("token", "band").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter("lead < _last")
     node = lambda i: F.xxhash64("band", i)  # noqa: E731  equal hashes would only merge neighbourhoods
     stars = written(banded.join(leads, ["token", "band"]).select("id", "n_shingles", node("id").alias("node"), node("lead").alias("hub")).distinct())
@@ -245,6 +264,26 @@ def neighbourhoods(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stars.select("node", "id", "n_shingles").distinct().join(found, "node").select("id", "n_shingles", F.col("component").alias("place"))
 
 
+def refined(members: DataFrame, named: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Neighbourhoods connected anew by the shingles that are rarest within each of them, as exact counts say.
+
+    The sketch has a fixed size, so it cannot tell a single text's shingles from those of a few texts once the input is
+    large; here all shingles of the given neighbourhoods are counted. A text with enough shingles of its own leaves.
+    """
+    texts = members.select("id", "place").distinct().join(named, "id").select("id", "place", "text")
+    flat = texts.mapInArrow(_all_shingles(width), "id long, place long, row long, token long")
+    flat = flat.select("id", "place", "row", F.xxhash64("place", "token").alias("token"))
+    counts = flat.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    one = Window.partitionBy("place", "id", "row")
+    size = F.shiftright("row", 32)
+    # equal rows hold each shingle several times, so ranks count distinct ones
+    ranked = flat.join(counts, "token").withColumn("_rank", F.dense_rank().over(one.orderBy("n", "token")))
+    own = size - F.max("_rank").over(one)
+    ranked = ranked.withColumn("_most", size - F.expr(f"({percent} * shiftright(row, 32) + 99) div 100") + 1 - own)
+    prefix = ranked.filter("_rank <= _most").select("id", size.alias("n_shingles"), "token", F.col("place").alias("band"))
+    return _connected(written(prefix.distinct()))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
                        block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links.
@@ -261,15 +300,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(passed.filter("part IS NOT NULL").select("part", "block", "cells")))
     key = ["n_shingles", "digest_a", "digest_b"]
     classes = written(sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
-    firsts = classes.filter("id IS NOT NULL").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    firsts = classes.filter("id IS NOT NULL").select("id").distinct()
 
     named = base.select(F.col("doc_id").alias("id"), "text")
-    tokens = named.mapInArrow(_prefixes(sketch, width, percent), "id long, tokens array<bigint>").join(firsts, "id")
+    tokens = named.mapInArrow(_prefixes(sketch, width, percent), "id long, n_shingles long, tokens array<bigint>").join(firsts, "id")
     members = written(neighbourhoods(tokens, percent))
-    weight = F.greatest(F.col("n_shingles"), F.lit(1))
-    places = members.groupBy("place").agg(F.sum(weight).alias("_w"))
-    small = F.col("_w") <= block_shingles
-    total = places.agg(F.sum(F.when(small, F.col("_w"))).alias("w"), F.count_if(~small).alias("large")).first()
+    small, before = F.col("_w") <= block_shingles, None
+    while True:
+        places = members.groupBy("place").agg(F.sum("n_shingles").alias("_w"))
+        total = places.agg(F.sum(F.when(small, F.col("_w"))).alias("w"), F.sum(F.when(~small, F.col("_w"))).alias("large")).first()
+        if not total["large"] or before and 4 * total["large"] > 3 * before:
+            break
+        before, large = total["large"], places.filter(~small).select("place")
+        members = written(members.join(large, "place", "left_anti").select("id", "n_shingles", "place").union(
+            refined(members.join(large, "place", "left_semi"), named, width, percent)))
     units = max(1, -(-(total["w"] or 0) // block_shingles))
     placed = members.join(places, "place").withColumn("blocks", F.when(small, 1).otherwise(F.ceil(F.col("_w") / block_shingles)).cast("int"))
     unit = F.when(small, F.pmod(F.col("place"), F.lit(units))).otherwise(F.col("place"))

@@ -53,6 +53,32 @@ def test_jaccard_against_brute_force(spark, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _components(rows)
 
 
+def test_jaccard_shared_passages(spark):
+    """Passages that many texts share connect them in one neighbourhood; counts within it take them apart again."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages, rows = [new(30) for _ in range(6)], []
+    for i in range(60):
+        words = new(25) + rng.choice(passages) + new(20) + rng.choice(passages) + new(15)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: rng.choice([70, 90, 105, 120])] + new(rng.randint(0, 12))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {b: {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, block_shingles=b).collect()} for b in (400, 1 << 21)}
+    assert found[400] == found[1 << 21] == _components(rows)
+    named = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    one = named.select("id", F.lit(120).cast("long").alias("n_shingles"), F.lit(7).cast("long").alias("place"))
+    places = jaccard.refined(one.union(one.filter("id < 9")), named)
+    assert places.groupBy("place").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_jaccard_repeated_ids(spark):
+    """A doc_id with texts of different sizes links what is near either."""
+    long, short = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(40)]
+    rows = [(3, " ".join(long)), (3, " ".join(short)), (4, " ".join(short[:-1])), (5, " ".join(long[2:])), (6, "x y z")]
+    for block in (100, 1 << 21):
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=block).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (4, 3), (5, 3), (6, 6)}
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (None, "q r", 0), (5, "x y z", 0), (5, "u v w", 0), (7, "u v w", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
