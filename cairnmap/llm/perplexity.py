@@ -1,11 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Tokens are word shapes (case, length class, what the word ends in, whether it repeats the word before),
-so the vocabulary is bounded, new words are no trouble and a 3-gram fits an integer. Every text is tokenized once,
-whole, into its distinct 3-grams with counts. Counts, continuation counts and discounts are DataFrame
-aggregations over the trusted texts; every 3-gram seen anywhere gets its log probability by joins on its
-sub-sequences; then the texts' 3-grams, salted into shards so that a common one is not one task, meet
-their probabilities in a join and are summed per document. Thresholds are quantiles per language.
+Tokens are words, as 64-bit hashes. Counts, continuation counts, contexts and discounts are DataFrame
+aggregations over the 3-grams of the trusted texts and grow with them; words that no trusted text has share one
+class of the mass that the discounts free. A token's log probability is a sum of one term for each word, word pair
+and 3-gram that trusted text knows, so one join of the texts' n-grams with the terms, dealt by (key, shard), gives
+every text's perplexity. A trusted text is not judged by n-grams that only its own text has.
+Thresholds are quantiles per language.
+
+The model of word shapes (``shapes`` to ``score_perplexity``) has a bounded vocabulary; no query uses it.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairnmap.llm.bytetext import over_texts, split_words
-from cairnmap.session import written, scratch_folder
+from cairnmap.llm.bytetext import mix, over_texts, split_words
+from cairnmap.llm.mixing import word_count
+from cairnmap.session import written
 
 # A document's log perplexity may exceed the trusted texts' median of its language by this many times the
 # distance of the median from this quantile.
 QUANTILE, MARGIN = 0.99, 1.5
 # Tokens of average text that every document is given, so short texts are not judged by a few tokens.
 PRIOR_TOKENS = 10
-# Copies of each 3-gram's probability in the join, so a common 3-gram's rows are dealt over as many keys.
+# Copies of a common n-gram's terms in the join, so its rows are dealt over as many keys.
 SHARDS = 8
 VOCABULARY = 256
 START = 0
@@ -164,6 +168,134 @@ def score_perplexity(grams: DataFrame, logp: DataFrame, id_col: str, broadcast_r
     return sums.select(id_col, "n_tokens", (-F.col("_s") / F.col("n_tokens")).alias("log_perplexity"))
 
 
+def _folded(*hashes: np.ndarray) -> np.ndarray:
+    """One key for a sequence of word hashes; sequences of different lengths have different keys."""
+    total = np.full(len(hashes[-1]), len(hashes), np.uint64)
+    for h in hashes:
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + h)
+    return total.view(np.int64)
+
+
+def _sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, c, owner, each text's first token): the word that is each token and the two before it, start tokens included."""
+    w = split_words(texts)
+    owner, c = w.owner, w.hashes
+    at = np.arange(len(c)) - w.first[:-1][owner]
+    b, a = np.zeros_like(c), np.zeros_like(c)
+    b[1:], a[2:] = c[:-1], c[:-2]
+    return np.where(at > 1, a, np.uint64(START)), np.where(at > 0, b, np.uint64(START)), c, owner, w.first
+
+
+def _flat(piece: pa.RecordBatch, owner: np.ndarray, added: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The columns of the piece without the text, a row per owner, and the added ones."""
+    kept = [(c.take(pa.array(owner)), f) for c, f in zip(piece.columns, piece.schema) if f.name != "text"]
+    return pa.RecordBatch.from_arrays([c for c, _ in kept] + [pa.array(x) for x in added.values()], names=[f.name for _, f in kept] + list(added))
+
+
+def _trained(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+    """A row per token: its 3-gram."""
+    a, b, c, owner, _ = _sequences(texts)
+    return _flat(piece, owner, {"a": a.view(np.int64), "b": b.view(np.int64), "c": c.view(np.int64)})
+
+
+def _asked(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+    """A row per text and distinct n-gram: how often it ends at a token, and how often it stands before one.
+
+    Single words and what stands at a text's start are in most texts, so they are dealt over shards.
+    """
+    a, b, c, owner, first = _sequences(texts)
+    ones, twos, threes = _folded(c), _folded(b, c), _folded(a, b, c)
+    zero = np.zeros(1, np.uint64)
+    starts = np.array([_folded(zero)[0], _folded(zero, zero)[0]])
+    keys, ends, befores, shard, owners = [], [], [], [], []
+    for t, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if i == j:
+            continue
+        for order, grams in ((1, ones), (2, twos), (3, threes)):
+            key, n = np.unique(grams[i:j], return_counts=True)
+            before = n - (key == grams[j - 1])  # nothing follows the last
+            if order < 3:
+                key, n, before = np.append(key, starts[order - 1]), np.append(n, 0), np.append(before, 1)
+            keys.append(key)
+            ends.append(n)
+            befores.append(before)
+            dealt = np.zeros(len(key), np.int64)
+            if order < 3:
+                dealt[slice(None) if order == 1 else slice(-1, None)] = t % SHARDS
+            shard.append(dealt)
+            owners.append(np.full(len(key), t))
+    joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    return _flat(piece, joined(owners), {"key": joined(keys), "shard": joined(shard).astype(np.int32),
+                                         "ends": joined(ends).astype(np.int32), "befores": joined(befores).astype(np.int32)})
+
+
+def _keyed(*cols: str):
+    """The key of ``_folded`` as an Arrow function of columns."""
+    @F.pandas_udf("long")
+    def fold(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(_folded(*[frame[x].to_numpy(np.int64).view(np.uint64) for x in frame.columns]))
+
+    return fold(F.struct(*cols))
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """An inner join with few rows a key on the right; a key's rows on the left are dealt over shards by ``by``."""
+    spread = right.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    return left.withColumn("_shard", F.pmod(F.xxhash64(by), F.lit(SHARDS)).cast("int")).join(spread, [*keys, "_shard"]).drop("_shard")
+
+
+def word_model(trusted: DataFrame) -> tuple[DataFrame, float]:
+    """((key, shard, w_end, w_before, sole) of every word, pair and 3-gram of the texts in ``text``, log probability of an unknown word).
+
+    ``w_end`` is what an n-gram adds to the log probability of the token it ends at, ``w_before`` what it adds to that of the
+    token after it; ``sole`` says that one distinct text alone has it.
+    """
+    source = trusted.select(F.xxhash64("text").alias("_own"), F.col("text").cast("binary").alias("text"))
+    seen = source.mapInArrow(over_texts(_trained), "_own long, a long, b long, c long")
+    span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    tri = written(seen.groupBy("a", "b", "c").agg(F.count("*").alias("c3"), F.min("_own").alias("lo"), F.max("_own").alias("hi")))
+    bi = written(tri.groupBy("b", "c").agg(F.count("*").alias("c2"), *span))
+    uni = written(bi.groupBy("c").agg(F.count("*").alias("c1"), *span))
+    d3, d2, d1 = _discounts(tri, "c3"), _discounts(bi, "c2"), _discounts(uni, "c1")
+    ones = uni.agg(F.sum("c1").alias("total"), F.count("*").alias("words"), *[F.count_if(F.least("c1", F.lit(3)) == i).alias(f"n{i}") for i in (1, 2, 3)]).first()
+    total = ones["total"] or 0
+    spare = sum(d * ones[f"n{i}"] for i, d in enumerate(d1, 1)) / total if total else 1.0
+    unknown = spare / (ones["words"] + 1)
+    known = uni.select("c", "lo", "hi", (_own("c1", d1) / max(total, 1) + unknown).alias("p1"))
+    ctx2 = written(_context(bi, ["b"], "c2", d2, "2").join(bi.groupBy("b").agg(*span), "b"))
+    ctx3 = written(_context(tri, ["a", "b"], "c3", d3, "3").join(tri.groupBy("a", "b").agg(*span), ["a", "b"]))
+    pairs = _dealt_join(_dealt_join(bi, ctx2.drop("lo", "hi"), ["b"], "c"), known.select("c", "p1"), ["c"], "b")
+    pairs = written(pairs.withColumn("p2", _own("c2", d2) / F.col("total_2") + F.col("gamma_2") * F.col("p1")))
+    grams = tri.join(ctx3.drop("lo", "hi"), ["a", "b"]).join(pairs.select("b", "c", "p2"), ["b", "c"])
+    p3 = _own("c3", d3) / F.col("total_3") + F.col("gamma_3") * F.col("p2")
+
+    def terms(frame: DataFrame, cols: list[str], end, before) -> DataFrame:
+        wide = F.lit(len(cols) == 1) if len(cols) != 2 else (F.col(cols[0]) == START) & (F.col(cols[1]) == START)
+        return frame.select(_keyed(*cols).alias("key"), end.alias("w_end"), before.alias("w_before"), "lo", "hi", wide.alias("_wide"))
+
+    nil = F.lit(0.0)
+    every = [terms(known, ["c"], F.log("p1") - math.log(unknown), nil), terms(ctx2, ["b"], nil, F.log("gamma_2")),
+             terms(pairs, ["b", "c"], F.log("p2") - F.log("gamma_2") - F.log("p1"), nil), terms(ctx3, ["a", "b"], nil, F.log("gamma_3")),
+             terms(grams, ["a", "b", "c"], F.log(p3) - F.log("gamma_3") - F.log("p2"), nil)]
+    table = every[0]
+    for x in every[1:]:
+        table = table.union(x)
+    summed = table.groupBy("key").agg(F.sum("w_end").alias("w_end"), F.sum("w_before").alias("w_before"), *span, F.max("_wide").alias("_wide"))
+    shards = F.when(F.col("_wide"), F.sequence(F.lit(0), F.lit(SHARDS - 1))).otherwise(F.array(F.lit(0)))
+    return summed.select("key", F.explode(shards).alias("shard"), "w_end", "w_before", (F.col("lo") == F.col("hi")).alias("sole")), math.log(unknown)
+
+
+def score_words(rows: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
+    """(_row, n_tokens, log_perplexity) of the rows (_row, trusted, text, n_tokens) with tokens."""
+    rows = rows.filter("n_tokens > 0")
+    slim = rows.select("_row", "trusted", F.col("text").cast("binary").alias("text"))
+    asked = slim.mapInArrow(over_texts(_asked), "_row long, trusted boolean, key long, shard int, ends int, befores int")
+    joined = asked.join(model, ["key", "shard"]).filter(~(F.col("trusted") & F.col("sole")))
+    sums = joined.groupBy("_row").agg(F.sum(F.col("ends") * F.col("w_end") + F.col("befores") * F.col("w_before")).alias("_s"))
+    scored = rows.select("_row", "n_tokens").join(sums, "_row", "left")
+    return scored.select("_row", "n_tokens", (-(F.coalesce("_s", F.lit(0.0)) / F.col("n_tokens") + unknown)).alias("log_perplexity"))
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
                      label: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR_TOKENS) -> DataFrame:
     """The columns ``keep`` with ``n_tokens``, ``log_perplexity``, ``threshold`` and ``kept``.
@@ -176,12 +308,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep: list[str], text:
     alike. Columns in ``keep`` must not bear the added names.
     """
     base = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit("")))
-    counted = count_grams(base.withColumn("_doc", F.col(doc_id)), ["_row", "_lang", "_doc", *keep], text)
     marks = labels.groupBy(F.col("doc_id").alias("_label_of")).agg(F.max(label).alias("_label"))
-    grams = written(counted.join(marks, counted["_doc"] == marks["_label_of"], "left")
-                         .withColumn("trusted", F.coalesce(F.col("_label") == 1, F.lit(False))).drop("_label_of", "_label", "_doc"))
-    scored = score_perplexity(grams.select("_row", "grams"), log_probabilities(grams.select("grams", "trusted")), "_row")
-    rows = written(grams.drop("grams").join(scored, "_row", "left"))
+    slim = base.select("_row", "_lang", F.col(doc_id).alias("_doc"), *[F.col(f"`{c}`") for c in keep], F.col(text).alias("text"), word_count(F.col(text)).alias("n_tokens"))
+    texts = written(slim.join(marks, slim["_doc"] == marks["_label_of"], "left")
+                        .withColumn("trusted", F.coalesce(F.col("_label") == 1, F.lit(False))).drop("_label_of", "_label", "_doc"))
+    scored = score_words(texts, *word_model(texts.filter("trusted").select("text")))
+    rows = written(texts.drop("text", "n_tokens").join(scored, "_row", "left"))
     good = rows.filter(F.col("trusted") & F.col("n_tokens").isNotNull())
 
     def figures(frame: DataFrame, value: str, at: float, name: str, keys: list[str]) -> DataFrame:
