@@ -80,7 +80,9 @@ NOTICES = (
 INDEX_WORDS = 3
 # Share of a template's IDF mass that has to stand at its place.
 MIN_COVERAGE = 0.6
+# A start may lie before the text's first word; the bias keeps its code positive.
 _START_BITS = 32
+_START_BIAS = 1 << 16
 
 
 def licence_words(text: Column) -> Column:
@@ -112,7 +114,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=BASE + NOTICES,
 
     ``matches`` holds (label, base, start, coverage) of every template found, ``coverage`` being the share
     of the template's IDF mass at its place; base templates are their own key phrase, so they count
-    wherever they stand. A null or empty text has no words: zero counts, empty labels, null places, score 0.
+    wherever they stand. A notice whose key phrase opens the text may start before it, at a negative start; the words
+    before the text count as not covered. A null or empty text has no words: zero counts, empty labels, null places, score 0.
     Rows are independent of each other, so repeated rows give repeated results; other columns are kept,
     except that columns with the result's names are replaced. An empty table gives an empty table.
     """
@@ -140,17 +143,18 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=BASE + NOTICES,
     looked_up = read.select("*", hits.alias("_hits"))
     codes = F.flatten(F.transform("_hits", lambda h: F.transform(
         F.element_at(index, h["w"]),
-        lambda p: F.when(h["i"] >= p["o"], F.shiftleft(p["t"], _START_BITS) + h["i"] - p["o"]))))
-    aligned = looked_up.select("*", F.array_distinct(F.filter(codes, lambda c: c.isNotNull())).alias("_starts"))
+        lambda p: F.shiftleft(p["t"], _START_BITS) + h["i"] - p["o"] + _START_BIAS)))
+    aligned = looked_up.select("*", F.array_distinct(codes).alias("_starts"))
 
     def verify(code: Column) -> Column:
-        start = code.bitwiseAND(F.lit((1 << _START_BITS) - 1)).cast("int")
+        start = code.bitwiseAND(F.lit((1 << _START_BITS) - 1)).cast("int") - _START_BIAS
         template = F.element_at(known, (F.shiftright(code, _START_BITS) + 1).cast("int"))
-        same = F.zip_with(F.slice("_w", start + 1, F.size(template["words"])), template["words"],
-                          lambda a, b: F.coalesce(a == b, F.lit(False)))
+        same = F.transform(template["words"], lambda word, j: (start + j >= 0) & F.coalesce(
+            F.get("_w", start + j) == word, F.lit(False)))
         covered = F.aggregate(F.zip_with(same, template["weights"], lambda m, x: F.when(m, x).otherwise(0.0)),
                               F.lit(0.0), lambda a, x: a + x)
-        held = F.slice("_w", start + 1 + template["at"], F.size(template["key"])) == template["key"]
+        at = start + template["at"]
+        held = (at >= 0) & (F.slice("_w", F.greatest(at, F.lit(0)) + 1, F.size(template["key"])) == template["key"])
         return F.when(held, F.struct(template["label"].alias("label"), template["base"].alias("base"),
                                      start.cast("long").alias("start"), covered.alias("coverage")))
 
