@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cairnmap.llm import jaccard
 from cairnmap.llm.mixing import word_count
+from cairnmap.session import written
 
 CAPACITY = 2_048
 # Pieces of one source in a bin at most.
@@ -105,3 +107,18 @@ def pack_documents(docs: DataFrame, text: str = "text", source: str = "source",
     kind = docs.schema[doc_id].dataType.simpleString()
     return dealt.groupBy("shard").applyInPandas(
         run, f"doc_id {kind}, source string, cluster string, piece int, start long, n_words long, bin_id long, bin_offset long")
+
+
+def pack_near_copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``pack_documents`` with groups of near copies (``jaccard_components`` of the rows' texts) as clusters.
+
+    A cluster is named by the lowest MD5 of its texts; a text without words has none.
+    """
+    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
+                               F.monotonically_increasing_id().alias("_row")))
+    groups = written(jaccard.jaccard_components(rows, "_row").filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"))
+    marked = rows.select("_row", F.md5("text").alias("_md5")).join(groups, "_row")
+    names = marked.groupBy("component_id").agg(F.min("_md5").alias("cluster"))
+    named = rows.join(groups, "_row", "left").join(names, "component_id", "left")
+    packed = pack_documents(named, cluster=F.col("cluster"), **options)
+    return packed

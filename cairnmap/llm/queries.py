@@ -78,7 +78,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("op8_packing")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf, "documents"))
+    return packing.pack_near_copies(_table(spark, sf, "documents"))
 
 
 @_query("op9_toxicity")
