@@ -83,4 +83,14 @@ def written(df: DataFrame, purpose: str = "step") -> DataFrame:
     """
     folder = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._written_to = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned; only for those that no later plan reads, not even after the loss of an executor."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
