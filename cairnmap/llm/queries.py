@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairnmap.llm import ann, jaccard, language, licenses, mixing, packing, perplexity, repetition, toxicity, urls
+from cairnmap.llm import ann, jaccard, language, licenses, mixing, packing, perplexity, repetition, resampling, toxicity, urls
 from cairnmap.session import ship_package
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_url_filter", urls.oracle())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op11_resampling", resampling.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
