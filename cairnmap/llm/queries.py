@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairnmap.llm import ann, jaccard, language, licenses, mixing, packing, perplexity, repetition, resampling, toxicity, urls
+from cairnmap.llm import ann, codebooks, jaccard, language, licenses, mixing, packing, perplexity, repetition, resampling, toxicity, urls
 from cairnmap.session import ship_package
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op11_resampling", resampling.ORACLE)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query("op12_vector_codes", codebooks.oracle())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return codebooks.code_report(_table(spark, sf, "embeddings"))
