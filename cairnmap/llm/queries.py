@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairnmap.llm import ann, codebooks, jaccard, language, licenses, mixing, packing, perplexity, repetition, resampling, toxicity, urls
+from cairnmap.llm import ann, codebooks, jaccard, language, licenses, mixing, onepermutation, packing, perplexity, repetition, resampling, toxicity, urls
 from cairnmap.session import ship_package
 
 QUERIES: dict = {}
@@ -106,3 +106,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op12_vector_codes", codebooks.oracle())
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return codebooks.code_report(_table(spark, sf, "embeddings"))
+
+
+@_query("op13_fingerprints")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return onepermutation.fingerprint_documents(_table(spark, sf, "documents"))
