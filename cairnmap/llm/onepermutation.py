@@ -2,8 +2,8 @@
 
 Every shingle is hashed once; the hash's top bits are its bin and the smallest hash of a bin is kept. Empty bins take the value of a
 bin that a universal hash of (bin, attempt) finds filled (optimal densification), so every bin agrees between two
-texts with the probability of their sets' Jaccard similarity. Of each value a few low-order bits are packed; values that differ agree in those
-by chance, and the likeness corrects for that share.
+texts with the probability of their sets' Jaccard similarity. Of each value, hashed with its bin, a few low-order bits are packed; values that
+differ agree in those by chance, independently per bin, and the likeness corrects for that share.
 
 Documents meet their successors in range partitions of the id: texts are moved once, a task reads its rows in
 order and holds two of them, and only the first and last row of each partition are paired afterwards.
@@ -65,7 +65,9 @@ def fingerprints(texts: list[bytes], width: int = WIDTH, bins: int = BINS, bits:
     values, filled = np.zeros(len(texts) * bins, np.uint64), np.zeros(len(texts) * bins, bool)
     values[flat[least]], filled[flat[least]] = members[least], True
     whole = densify(values.reshape(-1, bins), filled.reshape(-1, bins))
-    return (mix(whole) & np.uint64((1 << bits) - 1)).astype(np.uint8), np.diff(first) > 0
+    # a value that fills many bins would agree by chance in all of them at once, so each bin hashes it anew
+    salt = mix(np.arange(1, bins + 1, dtype=np.uint64))
+    return (mix(whole + salt) & np.uint64((1 << bits) - 1)).astype(np.uint8), np.diff(first) > 0
 
 
 def packed(low: np.ndarray, bits: int = BITS) -> list[str]:
