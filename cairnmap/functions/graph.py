@@ -53,13 +53,22 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars()
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every node of a bounded number of edges with its component."""
+    held = [b for b in batches if len(b)]
+    if held:
+        edges = pd.concat(held)
+        nodes, root = roots(edges["a"].to_numpy(), edges["b"].to_numpy())
+        yield pd.DataFrame({"node": nodes, "component": root})
+
+
+def connected_components(edges: DataFrame, left: str, right: str, together: int = CONTRACT_EDGES) -> DataFrame:
     """(node, component): each node (a long) of an edge between two nodes with the smallest node it is connected to.
 
     Tasks first contract their own edges to stars. Then, in every round, each node takes the smallest of itself and
     its neighbours, and what that one takes, and the edges are drawn anew between what their ends have become; ends that
-    became the same drop out. Nodes and edges shrink from round to round, and the rounds' maps are
-    composed from the last, smallest one back. Edges are never gathered per node: minima are partial sums, and a
+    became the same drop out. Nodes and edges shrink from round to round; once at most ``together`` edges are left, one task
+    joins them all. The rounds' maps are composed from the last, smallest one back. Edges are never gathered per node: minima are partial sums, and a
     hub's edges are an ordinary skewed join. Null ends and loops are ignored.
     """
     pairs = edges.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a <> b")
@@ -67,6 +76,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         stars = pairs.mapInPandas(_contract, "a long, b long").distinct()
         links = written(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"))
+        if links.count() <= 2 * together:  # each edge stands in both directions
+            maps.append(written(links.filter("a > b").repartition(1).mapInPandas(_together, "node long, component long")))
+            break
         lowest = links.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("low"))
         hop = lowest.select(F.col("node").alias("_via"), F.col("low").alias("_far"))
         step = written(lowest.join(hop, lowest["low"] == hop["_via"]).select("node", F.col("_far").alias("component")))

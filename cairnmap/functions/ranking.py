@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cairnmap.functions.frames import from_pandas
+from cairnmap.session import written
+
 # Ids per bucket of a two-level rank.
 RANK_WIDTH = 65_536
 
@@ -46,6 +51,31 @@ def rank_by_id(df: DataFrame, id_col: str, keys: list[str] = (), rank: str = "ra
     )
 
 
+# Rows per range partition of a global rank.
+RANGE_ROWS = 1 << 20
+
+
+def rank_rows(df: DataFrame, order: list[Column], rank: str = "rank", rows: int | None = None) -> DataFrame:
+    """``df``, written, with each row's 0-based place in the given order, which must tell all rows apart.
+
+    Range partitions are sorted on their own; a place within one is shifted by the sizes of those before it, of
+    which one number per partition comes to the driver.
+    """
+    spark = df.sparkSession
+    rows = df.count() if rows is None else rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS)) if rows > RANGE_ROWS // 16 else 1
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()))  # partition and place within it
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    offsets = from_pandas(spark, pd.DataFrame({"_part": np.arange(len(before), dtype=np.int64), "_before": np.array(before, np.int64)}), "_part long, _before long")
+    joined = placed.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("_part"))
+    return joined.withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row with the highest version per key, by partial aggregation."""
     rest = [c for c in df.columns if c not in keys]

@@ -6,10 +6,13 @@ from inspect import signature
 
 from pyspark.sql import DataFrame, functions as F
 
-from cairnmap.operators.agglomerative import agglomerative
-from cairnmap.operators.hdbscan import hdbscan
+from cairnmap.operators.agglomerative import agglomerative, agglomerative_microclusters
+from cairnmap.operators.hdbscan import hdbscan, hdbscan_microclusters
 
-METHODS = {"hdbscan": hdbscan, "agglomerative": agglomerative}
+METHODS = {
+    "hdbscan": hdbscan, "agglomerative": agglomerative,
+    "hdbscan_microclusters": hdbscan_microclusters, "agglomerative_microclusters": agglomerative_microclusters,
+}
 
 
 def run_method(method: str, coordinates: DataFrame, params: dict) -> DataFrame:

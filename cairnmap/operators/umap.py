@@ -1,13 +1,11 @@
 """UMAP-style layouts (McInnes et al. 2018).
 
-Up to ``max_landmarks`` items are laid out together. With more, a seeded set of
-landmarks is laid out and every other item is placed against it: a weighted
-mean of its nearest landmarks, then the same forces with the landmarks held
-still. That second part is narrow, so it needs no shuffle at any size; every
-item gets its own coordinates.
-
-Epochs are synchronous: blocks of items move against the positions of the last
-round, so results do not depend on how tasks were scheduled.
+``umap`` lays out all items together, at every size: positions and edges are tables, a round of epochs is a join of both and a
+group per share of the items. Items move against the positions of the last round, and random draws are hashes, so the
+result depends neither on partitions nor on how tasks were scheduled.
+
+``umap_landmarks`` is a coarser operator: a seeded set of landmarks is laid out and every other item is placed against it: a weighted
+mean of its nearest landmarks, then the same forces with the landmarks held still.
 """
 
 from __future__ import annotations
@@ -17,20 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cairnmap import SEED
 from cairnmap.functions import vectors as V
-from cairnmap.functions.frames import from_pandas
 from cairnmap.operators.neighbours import collect_matrix, knn, matrix, nearest_rows
+from cairnmap.operators.pca import pca
 from cairnmap.operators.sampling import seeded_pick
+from cairnmap.session import discard, written
 
 N_NEIGHBORS = 15
 MIN_DIST = 0.1
 MAX_LANDMARKS = 20_000
 NEGATIVES = 5
 
-_BLOCK = 256
+# Positions in the pool that random others are drawn from, edges of a task, and edges of a part of a vertex.
+POOL_ROWS, GROUP_EDGES, HUB_EDGES = 20_000, 200_000, 65_536
+
 _EPOCHS_PER_ROUND = 10
 _CLIP = 4.0
 
@@ -116,16 +117,21 @@ def fuzzy_graph(neighbours: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _start(points: np.ndarray, dims: int, seed: int) -> np.ndarray:
-    """First principal coordinates scaled to +-10, with a little seeded noise."""
-    centred = points - points.mean(0)
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, :dims]
-    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
-    found = np.zeros((len(points), dims))
-    found[:, : axes.shape[1]] = centred @ axes
-    top = np.abs(found).max()
-    return found * (10.0 / top if top > 0 else 1.0) + np.random.default_rng(seed).normal(scale=1e-4, size=found.shape)
+def _start(data: DataFrame, dims: int, seed: int) -> DataFrame:
+    """(id, y): first principal coordinates scaled to +-10, with a little noise from a hash of seed, id and axis.
+
+    Sums over tasks differ in their last digits, so the scaled coordinates are rounded.
+    """
+    placed = written(pca(data, dims))
+    top = placed.agg(F.max(F.array_max(F.transform("coordinates", F.abs)))).first()[0] or 0.0
+    scale = 10.0 / top if top > 1e-9 else 1.0
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.get("coordinates", i), F.lit(0.0)))
+
+    def shifted(x, i):
+        noise = F.pmod(F.xxhash64(F.lit(seed), F.col("item_id"), i), F.lit(1 << 20)) / float(1 << 20) - 0.5
+        return F.round(x * scale, 4) + 2e-4 * noise
+
+    return placed.select(F.col("item_id").alias("id"), F.transform(filled, shifted).alias("y"))
 
 
 def _active(weight: np.ndarray, epoch: int) -> np.ndarray:
@@ -148,40 +154,61 @@ def _move(y, rows, targets, repel_from, alpha, a, b, rng, pull: float, attempts:
     return y + alpha * force
 
 
-def _layout(spark: SparkSession, start: np.ndarray, head, tail, weight, a, b, epochs: int, seed: int) -> np.ndarray:
-    """Synchronous epochs over a bounded graph; tasks get blocks of items, edges and positions are shared."""
-    n = len(start)
-    order = np.argsort(head, kind="stable")
-    head, tail, weight = head[order], tail[order], weight[order] / weight.max()
-    first = np.searchsorted(head, np.arange(0, n + _BLOCK, _BLOCK))
-    graph = spark.sparkContext.broadcast((head, tail, weight, first))
-    n_blocks = math.ceil(n / _BLOCK)
-    tasks = min(n_blocks, spark.sparkContext.defaultParallelism)
-    y = start
+def _advance(pool, begin: int, end: int, epochs: int, a: float, b: float, seed: int):
+    """Some items (head, part), a row per edge with the item's place (y) and that of its far end (at), through the epochs."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["head", "part", "tail"])
+        heads, part = group["head"].to_numpy(np.int64), group["part"].to_numpy()
+        code = np.concatenate([[0], np.cumsum((heads[1:] != heads[:-1]) | (part[1:] != part[:-1]))])
+        first = np.searchsorted(code, np.arange(code[-1] + 1))
+        y, fixed, w, items = matrix(group["y"].iloc[first]), matrix(group["at"]), group["w"].to_numpy(), heads[first]
+        for epoch in range(begin, end):
+            on = _active(w, epoch)
+            y = _move_each(y, items, code[on], fixed[on], pool.value[1], 1.0 - epoch / epochs, a, b, (seed, epoch), 2.0)
+        return pd.DataFrame({"id": items, "y": list(y)})
+
+    return run
+
+
+def _layout(start: DataFrame, graph: DataFrame, n: int, a: float, b: float, epochs: int, seed: int,
+            pool_rows: int = POOL_ROWS, group_edges: int = GROUP_EDGES, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """(id, y) after all epochs, from (id, y) and the undirected graph (item_id, other_id, weight).
+
+    A round joins every directed edge with the position its far end had after the last round and moves each near end through some
+    epochs against those; a task holds a bounded number of edges. Random others come from a pool of positions drawn anew each round by a
+    hash of the ids (all of them, if that many are few); which one repels in an epoch is a hash of seed, epoch, item and edge. A vertex
+    with more than ``hub_edges`` edges is moved in parts, each against a hashed share of them, and takes the mean of their places.
+    """
+    spark = start.sparkSession
+    top = graph.agg(F.max("weight")).first()[0]
+    ends = F.array(F.struct(F.col("item_id").alias("head"), F.col("other_id").alias("tail")), F.struct(F.col("other_id").alias("head"), F.col("item_id").alias("tail")))
+    edges = graph.select(F.explode(ends).alias("e"), (F.col("weight") / F.lit(top)).alias("w")).select("e.*", "w")
+    parts = edges.groupBy("head").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("parts"))
+    edges = edges.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("tail"), F.col("parts")).cast("int"))
+    edges = written(edges)
+    groups = max(spark.sparkContext.defaultParallelism if n > group_edges // 64 else 1, -(-edges.count() // group_edges))
+    dims = len(start.first()["y"])
+    state = start
     for begin in range(0, epochs, _EPOCHS_PER_ROUND):
-        state = spark.sparkContext.broadcast(y)
-
-        def advance(batches: Iterator[pd.DataFrame], begin=begin, state=state) -> Iterator[pd.DataFrame]:
-            heads, tails, weights, starts = graph.value
-            for batch in batches:
-                for block in batch["id"]:
-                    low, high = int(block) * _BLOCK, min((int(block) + 1) * _BLOCK, n)
-                    edges = slice(starts[int(block)], starts[int(block) + 1])
-                    h, t, w = heads[edges] - low, tails[edges], weights[edges]
-                    near = state.value.copy()
-                    for epoch in range(begin, min(begin + _EPOCHS_PER_ROUND, epochs)):
-                        rng = np.random.default_rng((seed, epoch, int(block)))
-                        on = _active(w, epoch)
-                        near[low:high] = _move(
-                            near[low:high], h[on], near[t[on]], near, 1.0 - epoch / epochs, a, b, rng, 2.0, NEGATIVES
-                        )
-                    yield pd.DataFrame({"row": np.arange(low, high), "y": list(near[low:high])})
-
-        moved = spark.range(0, n_blocks, 1, tasks).mapInPandas(advance, "row long, y array<double>").toPandas()
-        y = matrix(moved.sort_values("row")["y"])
-        state.destroy()
-    graph.destroy()
-    return y
+        slot = F.pmod(F.xxhash64(F.lit(seed), F.lit(begin), "id"), F.lit(1 << 30))
+        drawn = state if n <= pool_rows else state.filter(slot < int((1 << 30) * (pool_rows + 4 * math.sqrt(pool_rows)) / n)).orderBy(slot, "id").limit(pool_rows)
+        rows = drawn.toPandas().sort_values("id")  # at most pool_rows
+        pool = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), matrix(rows["y"])))
+
+        far = state.select(F.col("id").alias("tail"), F.col("y").alias("at"))
+        near = state.select(F.col("id").alias("head"), "y")
+        met = edges.join(far, "tail").join(near, "head").withColumn("_group", F.pmod(F.xxhash64("head", "part"), F.lit(groups)))
+        moved = met.groupBy("_group").applyInPandas(_advance(pool, begin, min(begin + _EPOCHS_PER_ROUND, epochs), epochs, a, b, seed), "id long, y array<double>")
+        # the mean of a hub's parts; others are one part
+        axes = [F.avg(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(dims)]
+        joined = moved.groupBy("id").agg(*axes).select("id", F.array(*[f"y{i}" for i in range(dims)]).alias("y"))
+        after = written(joined)
+        if begin:
+            discard(state)
+        state = after
+        pool.destroy()
+    return state
 
 
 def _place(others: DataFrame, ids, points, fitted, k: int, a, b, epochs: int, seed: int) -> DataFrame:
@@ -218,7 +245,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _move_each(y, items, rows, targets, repel_from, alpha, a, b, salt):
+def _move_each(y, items, rows, targets, repel_from, alpha, a, b, salt, pull: float = 1.0):
     class Draws:
         """Random rows as a function of item, epoch and draw number."""
 
@@ -232,39 +259,40 @@ def _move_each(y, items, rows, targets, repel_from, alpha, a, b, salt):
                 key = _mix(who + np.uint64(0x9E3779B97F4A7C15) * (seedling + np.uint64(1)))
                 return (_mix(key + number - first) % np.uint64(high)).astype(np.int64)
 
-    return _move(y, rows, targets, repel_from, alpha, a, b, Draws, 1.0, NEGATIVES)
+    return _move(y, rows, targets, repel_from, alpha, a, b, Draws, pull, NEGATIVES)
 
 
 def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NEIGHBORS, min_dist: float = MIN_DIST,
-         random_state: int = SEED, epochs: int | None = None, max_landmarks: int = MAX_LANDMARKS) -> DataFrame:
-    """item_id, coordinates. ``n_neighbors`` is capped at the number of items less one."""
-    spark = vectors.sparkSession
-    data = vectors.select("item_id", V.as_doubles(F.col("vector")).alias("vector"))
+         random_state: int = SEED, epochs: int | None = None, **bounds) -> DataFrame:
+    """item_id, coordinates: a layout of all items together. ``n_neighbors`` is capped at the number of items less one."""
+    data = written(vectors.select("item_id", V.as_doubles(F.col("vector")).alias("vector")))
     n = data.count()
-    result = "item_id long, coordinates array<double>"
-    if n == 0:
-        return spark.createDataFrame([], result)
-    if n == 1:
+    if n < 2:
         return data.select("item_id", F.array_repeat(F.lit(0.0), target_dimensions).alias("coordinates"))
-    landmarks = seeded_pick(data, n, max_landmarks, seed=random_state) if n > max_landmarks else data
-    ids, points = collect_matrix(landmarks, "item_id", "vector")
-    fixed = from_pandas(
-        spark, pd.DataFrame({"item_id": ids, "vector": list(points)}), "item_id long, vector array<double>"
-    ).repartition(spark.sparkContext.defaultParallelism, "item_id")
     # The item itself counts as one of its neighbours.
-    k = max(1, min(n_neighbors, len(ids) - 1) - 1)
-    graph = fuzzy_graph(knn(fixed, fixed, k, exclude_self=True), k).toPandas()
-    graph = graph.sort_values(["item_id", "other_id"])
-    left, right = np.searchsorted(ids, graph["item_id"]), np.searchsorted(ids, graph["other_id"])
-    weight = graph["weight"].to_numpy()
+    k = max(1, min(n_neighbors, n - 1) - 1)
+    spread = data.repartition(data.sparkSession.sparkContext.defaultParallelism, "item_id")
+    graph = written(fuzzy_graph(knn(spread, data, k, exclude_self=True), k))
     a, b = curve(min_dist)
-    rounds = epochs if epochs is not None else 200
-    y = _layout(
-        spark, _start(points, target_dimensions, random_state), np.concatenate([left, right]), np.concatenate([right, left]),
-        np.concatenate([weight, weight]), a, b, rounds, random_state,
-    )
-    placed = from_pandas(spark, pd.DataFrame({"item_id": ids, "coordinates": list(y)}), result)
+    laid = _layout(written(_start(data, target_dimensions, random_state)), graph, n, a, b, 200 if epochs is None else epochs, random_state, **bounds)
+    return laid.select(F.col("id").alias("item_id"), F.col("y").alias("coordinates"))
+
+
+def umap_landmarks(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NEIGHBORS, min_dist: float = MIN_DIST,
+                   random_state: int = SEED, epochs: int | None = None, max_landmarks: int = MAX_LANDMARKS) -> DataFrame:
+    """item_id, coordinates: a layout of a seeded set of landmarks, and every other item placed against it.
+
+    A coarser operator than ``umap``: its cost past the landmarks is one narrow pass.
+    """
+    data = written(vectors.select("item_id", V.as_doubles(F.col("vector")).alias("vector")))
+    n = data.count()
     if n <= max_landmarks:
-        return placed
-    rest = data.join(F.broadcast(placed.select("item_id")), "item_id", "left_anti")
-    return placed.unionByName(_place(rest, ids, points, y, min(n_neighbors, len(ids)), a, b, max(rounds // 3, 1), random_state))
+        return umap(data, target_dimensions, n_neighbors, min_dist, random_state, epochs)
+    landmarks = written(seeded_pick(data, n, max_landmarks, seed=random_state))
+    laid = written(umap(landmarks, target_dimensions, n_neighbors, min_dist, random_state, epochs))
+    ids, points = collect_matrix(landmarks, "item_id", "vector")
+    _, fitted = collect_matrix(laid, "item_id", "coordinates")
+    a, b = curve(min_dist)
+    rest = data.join(F.broadcast(laid.select("item_id")), "item_id", "left_anti")
+    rounds = 200 if epochs is None else epochs
+    return laid.unionByName(_place(rest, ids, points, fitted, min(n_neighbors, len(ids)), a, b, max(rounds // 3, 1), random_state))

@@ -92,7 +92,7 @@ _VIEWS = {
         FROM vec_, nodes_) WHERE r = 1""",
     "files_": """SELECT page_id AS item_id,
         '/files/p' || page_id || (['.html', '.txt', '.png', '.JPG', '.tar.gz', ''])[page_id % 6 + 1] AS original_path,
-        CASE WHEN page_id % 4 = 0 THEN substr(html, 1, 15) ELSE html END AS content FROM pages""",
+        html AS content FROM pages""",
     "links_": "SELECT item_id, original_path, sha256(content) AS artifact_id, CAST(strlen(content) AS BIGINT) AS bytes FROM files_",
     "mimed_": """SELECT *, CASE page_id_mod WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'image/png'
         WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'application/x-tar' END AS mime_type,

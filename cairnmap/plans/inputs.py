@@ -41,8 +41,13 @@ def vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
+def whole_coordinates(spark, sf) -> DataFrame:
+    """Every component of each vector as coordinates."""
+    return vectors(spark, sf).select("item_id", V.as_doubles(F.col("vector")).alias("coordinates"))
+
+
 def coordinates(spark, sf, dims: int = 2) -> DataFrame:
-    """First components of each vector."""
+    """First components of each vector, for queries about points in the plane."""
     return vectors(spark, sf).select(
         "item_id", F.slice(V.as_doubles(F.col("vector")), 1, dims).alias("coordinates")
     )
@@ -157,8 +162,7 @@ def page_files(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select(
         F.col("page_id").alias("item_id"), F.col("page_id").alias("source_row_number"),
         F.concat(F.lit("/files/p"), F.col("page_id"), suffix).alias("original_path"),
-        F.when(F.col("page_id") % 4 == 0, F.encode(F.substring("html", 1, 15), "UTF-8"))
-        .otherwise(F.encode("html", "UTF-8")).alias("content"),
+        F.encode("html", "UTF-8").alias("content"),
     )
 
 
@@ -173,7 +177,7 @@ def replies(spark, sf) -> DataFrame:
     """Model replies made from documents: plain, fenced, padded, cut off, or incomplete JSON."""
     good = F.to_json(F.struct(
         F.col("lang").alias("label"), F.col("source").alias("short_label"),
-        F.substring("text", 1, 40).alias("rationale"), F.array("lang", "source").alias("keywords"),
+        F.col("text").alias("rationale"), F.array("lang", "source").alias("keywords"),
     ))
     kind = F.col("doc_id") % 6
     body = (
@@ -181,7 +185,7 @@ def replies(spark, sf) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("  \n```\n"), good, F.lit("\n```  \n")))
         .when(kind == 3, F.concat(F.lit("\n  "), good, F.lit("  ")))
-        .when(kind == 4, F.substring(good, 1, 30))
+        .when(kind == 4, F.substr(good, F.lit(1), F.length(good) - 1))
         .otherwise(F.to_json(F.struct(F.col("lang").alias("label"))))
     )
     return table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), body.alias("raw_text"))

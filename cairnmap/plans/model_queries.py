@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cairnmap.functions.frames import from_pandas
-from cairnmap.operators import agglomerative, codebook, hdbscan, linkage, neighbours, pca, registry, som, umap, views
+from cairnmap.operators import agglomerative, codebook, hdbscan, neighbours, pca, registry, som, spanning, umap, views
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
 from cairnmap.session import scratch_folder
@@ -84,10 +84,10 @@ def knn(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query("knn_cells", over("vec_", sql=_KNN.replace("a.v, b.v", "a.v[1:3], b.v[1:3]")))
+@query("knn_cells", over("vec_", sql=_KNN))
 def knn_cells(spark, sf):
     """The same search laid out as for a base that fits no broadcast."""
-    points = I.coordinates(spark, sf, 3).withColumnRenamed("coordinates", "vector")
+    points = I.vectors(spark, sf)
     found = neighbours.knn(points, points, 5, exclude_self=True, broadcast_bytes=0, block_rows=256)
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -161,8 +161,8 @@ def som_grid_size(spark, sf):
 
 @query("som_train")
 def som_train(spark, sf):
-    trained = som.train_som(I.vectors(spark, sf), num_iteration=500)
-    return trained.select("node_index", "grid_i", "grid_j", F.size("weight").alias("width"))
+    trained = som.train_som(I.vectors(spark, sf))
+    return trained.select("node_index", "grid_i", "grid_j", F.posexplode("weight").alias("pos", "x")).withColumn("x", F.round("x", 4))
 
 
 @query("som_bmu", over("bmu_", sql="SELECT item_id, node_index, grid_i, grid_j FROM bmu_"))
@@ -227,7 +227,7 @@ def umap_8d(spark, sf):
 @query("umap_landmarks")
 def umap_landmarks(spark, sf):
     """A small landmark set, every other vector placed against it."""
-    return _rounded(umap.umap(I.vectors(spark, sf), 2, max_landmarks=256))
+    return _rounded(umap.umap_landmarks(I.vectors(spark, sf), 2, max_landmarks=256))
 
 
 @query("fingerprint")
@@ -242,53 +242,68 @@ def _assigned(df):
     return df.withColumn("membership_probability", F.round("membership_probability", 6))
 
 
-@query("spanning_tree")
+_TREE = """
+    , d_ AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b, list_distance(a.v, b.v) AS d FROM vec_ a, vec_ b),
+    p_ AS (WITH RECURSIVE prim AS (
+        SELECT 0 AS step, b AS node, d AS w, a AS src, a = b AS inside FROM d_ WHERE a = (SELECT min(item_id) FROM vec_)
+        UNION ALL
+        SELECT step + 1, node, CASE WHEN NOT inside AND node <> pick AND d < w THEN d ELSE w END,
+            CASE WHEN NOT inside AND node <> pick AND d < w THEN pick ELSE src END, inside OR node = pick
+        FROM (SELECT *, arg_min(node, (w, node)) FILTER (NOT inside) OVER () AS pick FROM prim) JOIN d_ ON a = pick AND b = node)
+        SELECT * FROM prim WHERE step = (SELECT max(step) FROM prim)),
+    t_ AS MATERIALIZED (SELECT least(node, src) AS a, greatest(node, src) AS b, w FROM p_ WHERE node <> (SELECT min(item_id) FROM vec_))"""
+
+
+@query("spanning_tree", over("vec_", sql=f"{_TREE} SELECT a, b, round(w, 6) AS weight FROM t_"))
 def spanning_tree(spark, sf):
-    ids, points = neighbours.collect_matrix(I.coordinates(spark, sf, 8), "item_id", "coordinates")
-    a, b, w = linkage.spanning_tree(spark, ids, points)
-    return from_pandas(
-        spark, pd.DataFrame({"a": ids[a], "b": ids[b], "weight": np.round(w, 6)}), "a long, b long, weight double"
-    )
+    """Laid out as for points that fit neither one block nor a broadcast."""
+    tree = spanning.spanning_tree(I.vectors(spark, sf), block_rows=256, broadcast_bytes=0)
+    return tree.withColumn("weight", F.round("weight", 6))
 
 
 @query("hdbscan")
 def hdbscan_exact(spark, sf):
-    return _assigned(hdbscan.hdbscan(I.coordinates(spark, sf, 8)))
+    return _assigned(hdbscan.hdbscan(I.whole_coordinates(spark, sf)))
 
 
 @query("hdbscan_leaf")
 def hdbscan_leaf(spark, sf):
-    return _assigned(hdbscan.hdbscan(I.coordinates(spark, sf, 2), 10, 5, "leaf", 0.01))
+    return _assigned(hdbscan.hdbscan(I.whole_coordinates(spark, sf), 10, 5, "leaf", 0.01))
 
 
 @query("hdbscan_microclusters")
 def hdbscan_micro(spark, sf):
-    return _assigned(hdbscan.hdbscan(I.coordinates(spark, sf, 2), exact_rows=0, micro_clusters=64))
+    return _assigned(hdbscan.hdbscan_microclusters(I.whole_coordinates(spark, sf), micro_clusters=64))
 
 
 @query("agglomerative_ward")
 def ward(spark, sf):
-    return agglomerative.agglomerative(I.coordinates(spark, sf, 8))
+    return agglomerative.agglomerative(I.whole_coordinates(spark, sf))
 
 
 @query("agglomerative_complete")
 def complete(spark, sf):
-    return agglomerative.agglomerative(I.coordinates(spark, sf, 8), linkage="complete")
+    return agglomerative.agglomerative(I.whole_coordinates(spark, sf), linkage="complete")
 
 
 @query("agglomerative_average")
 def average(spark, sf):
-    return agglomerative.agglomerative(I.coordinates(spark, sf, 8), linkage="average")
+    return agglomerative.agglomerative(I.whole_coordinates(spark, sf), linkage="average")
 
 
-@query("agglomerative_single")
+@query("agglomerative_single", over("vec_", sql=f"""{_TREE},
+    kept_t_ AS MATERIALIZED (SELECT a, b FROM t_ QUALIFY row_number() OVER (ORDER BY w, a, b) <= (SELECT count(*) FROM vec_) - 8),
+    both_ AS (SELECT a, b FROM kept_t_ UNION ALL SELECT b, a FROM kept_t_),
+    c_ AS (WITH RECURSIVE reach(item, low) AS (SELECT item_id, item_id FROM vec_ UNION SELECT b, low FROM reach JOIN both_ ON a = item AND low < b)
+        SELECT item, min(low) AS low FROM reach GROUP BY 1)
+    SELECT item AS item_id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS BIGINT) AS cluster_id, CAST(1 AS DOUBLE) AS membership_probability FROM c_"""))
 def single(spark, sf):
-    return agglomerative.agglomerative(I.coordinates(spark, sf, 8), linkage="single")
+    return agglomerative.agglomerative(I.whole_coordinates(spark, sf), linkage="single")
 
 
 @query("agglomerative_microclusters")
 def ward_micro(spark, sf):
-    return agglomerative.agglomerative(I.coordinates(spark, sf, 8), exact_rows=0, micro_clusters=64)
+    return agglomerative.agglomerative_microclusters(I.whole_coordinates(spark, sf), micro_clusters=64)
 
 
 @query("codebook_propagate", over("bmu_", sql="""

@@ -37,18 +37,18 @@ def run_metrics(spark, sf):
 
 
 @query("silhouette", over("asg_vec_", "vec_", sql="""
-    , p_ AS (SELECT cluster_id, item_id, v[1:8] AS v FROM asg_vec_ JOIN vec_ USING (item_id) WHERE cluster_id >= 0),
+    , p_ AS (SELECT cluster_id, item_id, v FROM asg_vec_ JOIN vec_ USING (item_id) WHERE cluster_id >= 0),
     n_ AS (SELECT cluster_id, count(*) AS n FROM p_ GROUP BY 1),
     d_ AS (SELECT a.item_id, a.cluster_id, b.cluster_id AS other, sum(list_distance(a.v, b.v)) AS t FROM p_ a, p_ b GROUP BY 1, 2, 3),
     ab_ AS (SELECT d.item_id, max(CASE WHEN d.cluster_id = other THEN t / nullif(n - 1, 0) END) AS a,
         min(CASE WHEN d.cluster_id <> other THEN t / n END) AS b FROM d_ d JOIN n_ ON n_.cluster_id = other GROUP BY 1)
     SELECT CAST(1 AS BIGINT) AS cluster_run_id, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 3) AS silhouette FROM ab_"""))
 def silhouette(spark, sf):
-    return metrics.silhouette(I.vector_assignments(spark, sf), I.coordinates(spark, sf, 8))
+    return metrics.silhouette(I.vector_assignments(spark, sf), I.whole_coordinates(spark, sf))
 
 
 @query("squared_silhouette", over("asg_vec_", "vec_", sql="""
-    , p_ AS (SELECT cluster_id, item_id, v[1:8] AS v FROM asg_vec_ JOIN vec_ USING (item_id) WHERE cluster_id >= 0),
+    , p_ AS (SELECT cluster_id, item_id, v FROM asg_vec_ JOIN vec_ USING (item_id) WHERE cluster_id >= 0),
     n_ AS (SELECT cluster_id, count(*) AS n FROM p_ GROUP BY 1),
     d_ AS (SELECT a.item_id, a.cluster_id, b.cluster_id AS other, sum(list_distance(a.v, b.v) ** 2) AS t FROM p_ a, p_ b GROUP BY 1, 2, 3),
     ab_ AS (SELECT d.item_id, max(CASE WHEN d.cluster_id = other THEN t / nullif(n - 1, 0) END) AS a,
@@ -56,7 +56,7 @@ def silhouette(spark, sf):
     SELECT CAST(1 AS BIGINT) AS cluster_run_id, (SELECT count(*) FROM embeddings) AS n_items,
         round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS squared_silhouette FROM ab_"""))
 def squared_silhouette(spark, sf):
-    assigned, placed = I.vector_assignments(spark, sf), I.coordinates(spark, sf, 8)
+    assigned, placed = I.vector_assignments(spark, sf), I.whole_coordinates(spark, sf)
     score = metrics.squared_silhouette(assigned, placed)
     return assigned.groupBy(RUN).agg(F.count("*").alias("n_items")).withColumn(
         "squared_silhouette", F.round(F.lit(score).cast("double"), 6)

@@ -206,22 +206,33 @@ def _letter_shares(values):
     return out
 
 
-@query("embed_texts", over("reps_", sql="SELECT item_id, 'letters' AS model_name, 26 AS dimensions, CAST(1.0 AS DOUBLE) AS length FROM reps_"))
+def _components(embedded):
+    return embedded.select("item_id", "model_name", "dimensions", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
+def _letters_sql(view: str, content: str) -> str:
+    return over(view, sql=f"""
+    , t_ AS MATERIALIZED (SELECT item_id, {content} AS t FROM {view}),
+    n_ AS (SELECT item_id, CAST(p AS INTEGER) AS pos, strlen(t) - strlen(replace(replace(t, chr(97 + p::INT), ''), chr(65 + p::INT), '')) AS n
+        FROM t_, range(26) r(p))
+    SELECT item_id, 'letters' AS model_name, 26 AS dimensions, pos,
+        round(CAST(CAST(n / greatest(sqrt(sum(n * n) OVER (PARTITION BY item_id)), 1e-12) AS FLOAT) AS DOUBLE), 5) AS x FROM n_""")
+
+
+_BUDGETED = rf"""'{embed.TASK_PREFIX}' || CASE WHEN len(string_split_regex(trim(text), '\s+')) >= {embed.MAX_TOKENS}
+        THEN array_to_string(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')[1:{embed.MAX_TOKENS - 1}], ' ') ELSE text END"""
+
+
+@query("embed_texts", _letters_sql("reps_", _BUDGETED))
 def embed_texts(spark, sf):
     pending = I.representations(spark, sf).select("representation_id", "item_id", "text")
-    return embed.embed_texts(pending, _letter_shares, "letters").select(
-        "item_id", "model_name", "dimensions", F.round(V.l2_norm(F.col("vector")), 4).alias("length")
-    )
+    return _components(embed.embed_texts(pending, _letter_shares, "letters"))
 
 
-@query("embed_files", over("files_", sql="""
-    SELECT item_id, 'letters' AS model_name, 26 AS dimensions,
-        CASE WHEN regexp_matches(content, '[A-Za-z]') THEN CAST(1.0 AS DOUBLE) ELSE 0.0 END AS length FROM files_"""))
+@query("embed_files", _letters_sql("files_", "content"))
 def embed_files(spark, sf):
     files = I.page_files(spark, sf).withColumn("representation_id", F.col("item_id"))
-    return embed.embed(files, "content", _letter_shares, "letters").select(
-        "item_id", "model_name", "dimensions", F.round(V.l2_norm(F.col("vector")), 4).alias("length")
-    )
+    return _components(embed.embed(files, "content", _letter_shares, "letters"))
 
 
 def _byte_counts(values):
@@ -357,7 +368,7 @@ def offline_labels(spark, sf):
 
 @query("parse_replies", """
     SELECT doc_id AS request_id, CASE WHEN doc_id % 6 < 4 THEN lang END AS label, CASE WHEN doc_id % 6 < 4 THEN source END AS short_label,
-        CASE WHEN doc_id % 6 < 4 THEN substr(text, 1, 40) END AS rationale, CASE WHEN doc_id % 6 < 4 THEN lang || ', ' || source END AS keywords,
+        CASE WHEN doc_id % 6 < 4 THEN text END AS rationale, CASE WHEN doc_id % 6 < 4 THEN lang || ', ' || source END AS keywords,
         doc_id % 6 < 4 AS valid FROM documents""")
 def parse_replies(spark, sf):
     parsed = I.replies(spark, sf).select("request_id", generate.parse_reply(F.col("raw_text"), _LABEL).alias("r"))

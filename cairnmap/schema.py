@@ -42,7 +42,7 @@ CRITIQUES = (
     f"metrics struct<{', '.join(f.replace(' ', ': ', 1) for f in METRICS.split(', '))}>"
 )
 MODEL_CALLS = (
-    "task_name string, request_id string, attempt int, provider string, model string, "
+    "task_name string, request_id string, attempt int, call_number long, provider string, model string, "
     "prompt string, raw_text string, parsed string"
 )
 RUN_LOG = "log_id long, run_name string, stage string, level string, message string, payload string"

@@ -65,3 +65,11 @@ class Store:
         """One above the highest id; parquet answers this from column statistics."""
         highest = self.read(table).agg(F.max(column)).first()[0]
         return 1 if highest is None else int(highest) + 1
+
+    def unused_id(self, column: str, registry: str, *tables: str) -> int:
+        """One above the highest id of a registry and of the tables whose rows bear it.
+
+        Those rows are written before their registry row, so a job that dies in between leaves rows that no registry
+        row names; their number is never given out again.
+        """
+        return max(self.next_id(t, column) for t in (registry, *tables))

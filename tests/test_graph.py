@@ -16,7 +16,8 @@ def _check(spark, edges, partitions):
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
     df = spark.createDataFrame(edges, "x long, y long").repartition(partitions)
-    assert {r.node: r.component for r in connected_components(df, "x", "y").collect()} == label
+    for together in (0, 1 << 20):
+        assert {r.node: r.component for r in connected_components(df, "x", "y", together).collect()} == label
 
 
 def test_components_of_paths_stars_and_random_graphs(spark):

@@ -66,13 +66,22 @@ def agreement(y, label, k=10):
 @pytest.mark.parametrize("landmarks", [10_000, 120])
 def test_layout_keeps_neighbourhoods_and_repeats(points, blobs, landmarks):
     x, label = blobs
-    first = stacked(umap.umap(points(x), 2, epochs=60, max_landmarks=landmarks))
-    again = stacked(umap.umap(points(x, partitions=11), 2, epochs=60, max_landmarks=landmarks))
+    lay = (lambda df: umap.umap(df, 2, epochs=60)) if landmarks > len(x) else (lambda df: umap.umap_landmarks(df, 2, epochs=60, max_landmarks=landmarks))
+    first, again = stacked(lay(points(x))), stacked(lay(points(x, partitions=11)))
     assert first.shape == (300, 2) and np.isfinite(first).all()
     assert agreement(first, label) > 0.95
     assert np.array_equal(first, again)
 
 
+def test_layout_does_not_depend_on_groups(points, blobs):
+    """Many small groups of edges move the items as one group does; parts of hubs and a small pool still keep neighbourhoods."""
+    x, label = blobs
+    whole = stacked(umap.umap(points(x), 2, epochs=30))
+    assert np.allclose(whole, stacked(umap.umap(points(x), 2, epochs=30, group_edges=300)))
+    cut = stacked(umap.umap(points(x), 2, epochs=60, group_edges=500, hub_edges=20, pool_rows=100))
+    assert np.isfinite(cut).all() and agreement(cut, label) > 0.95
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_small_layouts(points, n):
     y = stacked(umap.umap(points(np.random.default_rng(0).normal(size=(n, 4))), 3, n_neighbors=100, epochs=10))
