@@ -3,8 +3,10 @@
 1. One pass gives every text's set size and a 128-bit digest of its set; equal sets are one class, and only
    a class's first text goes on, so exact copies cost nothing more.
 2. Two sets of similarity t share one of the first n - ceil(t * n) + 1 members under any common order of all
-   shingles. The order is by frequency in a sketch of all texts (rarest first, ties by hash), so passages
-   that many texts share come last. Texts that share such a member form neighbourhoods.
+   shingles. The order is by how many texts have a shingle (rarest first, ties by hash), so passages
+   that many texts share come last. To count, tasks send the sorted hashes of some millions of shingles at a time to ranges of
+   hashes, as differences, with the texts' numbers; only shingles of several texts come back. A text with enough shingles of its own is
+   near no other. Texts that share a prefix member form neighbourhoods.
    A neighbourhood larger than a block is connected anew by the shingles that are rarest within it, counted exactly.
 3. A neighbourhood is cut into blocks of bounded bytes. In a block the sets' members are hashed into groups; the
    group counts are points of an R-tree whose boxes carry the largest count per group. The sum of the
@@ -21,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairnmap.functions.graph import connected_components, roots
+from cairnmap.functions.ranking import rank_rows
 from cairnmap.llm.bytetext import ASCII_SPACE, CHUNK_BYTES, LOWER, distinct_sets, mix, over_texts, shingles, split_words, text_chunks
 from cairnmap.session import written
 
 WIDTH, PERCENT = 5, 75
-SKETCH_BITS, SKETCH_BLOCKS, FAN_IN = 22, 64, 64
+# Shingles that are counted in one task, and that a task holds before it sends them; bits of a shingle's hash at most, and the largest count told apart.
+SHARD_SHINGLES, FLUSH_SHINGLES, CELL_BITS, MOST_OFTEN = 1 << 22, 1 << 22, 48, (1 << 15) - 1
 # Hash groups of a count vector: half the mean set size of a block, within these limits.
 GROUPS = (64, 4_096)
 # Shingles in a block: what one task holds at a time.
@@ -136,74 +139,101 @@ def forest(texts: list[bytes], parts: np.ndarray, known: np.ndarray, width: int
     return links
 
 
-def _cell(members: np.ndarray) -> np.ndarray:
-    return (members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+_SETS = "doc_id long, text_hash long, n_shingles long, digest_a long, digest_b long"
 
 
-_PASS = "doc_id long, n_shingles long, digest_a long, digest_b long, part long, block int, cells binary"
+def _digests(width: int):
+    """Each row's set size and a 128-bit digest of its set."""
+    def fn(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        members, first = text_sets(texts, width)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members + np.uint64(salt)))]) for salt in (17, 91)]
+        kept = [piece.column(piece.schema.get_field_index(c)) for c in ("doc_id", "text_hash")]
+        added = [pa.array(np.diff(first), pa.int64()), *[pa.array((x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]]
+        return pa.RecordBatch.from_arrays([*kept, *added], names=[x.split()[0] for x in _SETS.split(", ")])
+
+    return over_texts(fn)
+
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed planes of bytes; bytes that are all zero cost nothing."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-def _digests_and_sketch(width: int):
-    """Per text its set's size and digest; at the task's end the number of its (text, shingle) pairs per hash cell."""
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in _PASS.split(", ")]
 
+def _unsqueezed(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _dealt_cells(shards: int, bits: int, width: int):
+    """Rows (id, text) as one row per shard and some millions of shingles: sorted cells, as differences, and the id of each.
+
+    A cell is the first ``bits`` bits of a shingle's hash, and a shard a range of cells, so differences are small numbers.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
+        cells, ids = [], []
+
+        def flushed() -> pa.RecordBatch:
+            cell, who = np.concatenate(cells), np.concatenate(ids)
+            order = np.argsort(cell, kind="stable")
+            cell, who = cell[order], who[order]
+            shard = (cell >> np.uint64(bits - 31)).astype(np.int64) * shards >> 31
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            ends = np.append(first[1:], len(cell))
+            rows = [(int(shard[i]), j - i, int(cell[i]), _squeezed(np.diff(cell[i:j], prepend=cell[i])), _squeezed(who[i:j])) for i, j in zip(first.tolist(), ends.tolist())]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "n", "low", "cells", "ids"])
+
         for piece, texts in text_chunks(batches):
+            numbers = piece.column(piece.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
             members, first = text_sets(texts, width)
-            held.append(_cell(members))
-            if sum(map(len, held)) >= len(total):
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-                held = []
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members + np.uint64(salt)))]) for salt in (17, 91)]
-            columns = [piece.column(piece.schema.get_field_index("doc_id")), pa.array(np.diff(first), pa.int64())]
-            columns += [pa.array((x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]
-            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(texts), k) for k in kinds[4:]], names=names)
-        total += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(total))
-        cells = _cell_bytes(total).reshape(SKETCH_BLOCKS, -1)
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SKETCH_BLOCKS, pa.int64())] * 4 + [pa.array([part] * SKETCH_BLOCKS, pa.int64()), pa.array(range(SKETCH_BLOCKS), pa.int32()),
-                                                         pa.array([c.tobytes() for c in cells], pa.binary())], names=names)
+            cells.append(members >> np.uint64(64 - bits))
+            ids.append(np.repeat(numbers.astype(np.uint64), np.diff(first)))
+            if sum(map(len, cells)) >= FLUSH_SHINGLES:
+                yield flushed()
+                cells, ids = [], []
+        if sum(map(len, cells)):
+            yield flushed()
 
     return run
 
 
-def _cell_bytes(total: np.ndarray) -> np.ndarray:
-    return np.minimum(total, (1 << 31) - 1).astype(np.int32)
-
-
-def _add_cells(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in group["cells"])
-    return pd.DataFrame({"part": [group["part"].iloc[0]], "block": [group["block"].iloc[0]], "cells": [_cell_bytes(total).tobytes()]})
+def _shared_members(bits: int):
+    """A shard's cells that several ids have: (id, member); members sort by how many ids have them, then by cell."""
+    def run(group: pa.Table) -> pa.Table:
+        cells, ids = [], []
+        for row in group.to_pylist():
+            cells.append(np.cumsum(_unsqueezed(row["cells"], row["n"])) + np.uint64(row["low"]))
+            ids.append(_unsqueezed(row["ids"], row["n"]))
+        cell, who = np.concatenate(cells), np.concatenate(ids)
+        order = np.lexsort((who, cell))
+        cell, who = cell[order], who[order]
+        fresh = np.ones(len(cell), bool)
+        fresh[1:] = (cell[1:] != cell[:-1]) | (who[1:] != who[:-1])
+        cell, who = cell[fresh], who[fresh]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        often = np.repeat(np.diff(np.append(first, len(cell))), np.diff(np.append(first, len(cell))))
+        kept = often > 1
+        member = (np.minimum(often[kept], MOST_OFTEN).astype(np.int64) << bits) | cell[kept].astype(np.int64)
+        return pa.table({"id": pa.array(who[kept].astype(np.int64)), "member": pa.array(member)})
 
+    return run
 
-def frequency_sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' arrays, ``FAN_IN`` at a time; the result has a fixed size."""
-    sums, most = parts, parts.agg(F.max("part")).first()[0]
-    while most is not None and most > 0:
-        sums = sums.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part", "block").applyInPandas(_add_cells, "part long, block int, cells binary")
-        most //= FAN_IN
-    found = {r["block"]: r["cells"] for r in sums.collect()}
-    empty = bytes(4 * (1 << SKETCH_BITS) // SKETCH_BLOCKS)
-    return np.frombuffer(b"".join(found.get(b, empty) for b in range(SKETCH_BLOCKS)), np.int32)
 
+def rare_members(texts: DataFrame, sizes: DataFrame, shingles_: int, width: int, percent: int, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """(id, n_shingles, tokens): of each text's prefix, the members that other texts have as well; texts without any are left out.
 
-def _prefixes(sketch, width: int, percent: int):
-    def fn(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        members, first = text_sets(texts, width)
-        often = np.minimum(sketch.value[_cell(members)], 65_535).astype(np.uint16)
-        cuts, out = first.tolist(), [np.zeros(0, np.uint64)]
-        for a, b in zip(cuts, cuts[1:]):
-            need = b - a + (-percent * (b - a) // 100) + 1 if b > a else 0
-            out.append(members[a:b][np.argsort(often[a:b], kind="stable")[:need]])  # members ascend, so ties go by hash
-        ends = np.cumsum([0] + [len(x) for x in out[1:]]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64), pa.int64()))
-        return pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index("id")), pa.array(np.diff(first), pa.int64()), tokens.cast(pa.list_(pa.int64()))],
-                                          schema=pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
-
-    return over_texts(fn)
+    ``texts`` has id and text, ``sizes`` id and n_shingles. Members are counted over all texts, and ordered by that count. A member of one
+    text alone comes first in the order and joins nothing, so it only shortens what is left of the prefix.
+    """
+    shards = max(1, -(-shingles_ // shard_shingles))
+    bits = min(CELL_BITS, max(32, shingles_.bit_length() + 7))
+    dealt = texts.mapInArrow(_dealt_cells(shards, bits, width), "shard int, n long, low long, cells binary, ids binary")
+    shared = dealt.groupBy("shard").applyInArrow(_shared_members(bits), "id long, member long")
+    lists = shared.groupBy("id").agg(F.collect_list("member").alias("members"))  # at most a text's own set
+    n = F.col("n_shingles")
+    left = n + F.floor(F.lit(-percent) * n / 100).cast("long") + 1 - (n - F.size("members"))
+    return lists.join(sizes, "id").filter(left > 0).select("id", "n_shingles", F.slice(F.array_sort("members"), F.lit(1), left.cast("int")).alias("tokens"))
 
 
 def _all_shingles(width: int):
@@ -221,7 +251,7 @@ def _all_shingles(width: int):
 
 def _unit_links(width: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        links = []
+        group, links = group.drop_duplicates("id"), []
         if group["known"].nunique() > 1:
             group = group.sort_values(["part", "id"], kind="stable")
             links = forest(group["text"].tolist(), group["part"].to_numpy(), group["known"].to_numpy(), width, percent)
@@ -285,7 +315,7 @@ def refined(members: DataFrame, named: DataFrame, width: int = WIDTH, percent: i
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
-                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                       block_shingles: int = BLOCK_SHINGLES, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links.
 
     Two texts link when 100 * |A & B| >= percent * |A | B| for their sets of ``width``-word shingles (a text of
@@ -294,17 +324,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     or null if no row with an id has the same set. Very long texts are sets like any other; a block holds at least
     one text. An empty table gives an empty table; other columns are ignored.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    passed = written(base.mapInArrow(_digests_and_sketch(width), _PASS))
-    sets = passed.filter("part IS NULL").select("doc_id", "n_shingles", "digest_a", "digest_b")
-    sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(passed.filter("part IS NOT NULL").select("part", "block", "cells")))
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").cast("binary").alias("text"))
+    sets = written(base.mapInArrow(_digests(width), _SETS))
     key = ["n_shingles", "digest_a", "digest_b"]
-    classes = written(sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")))
-    firsts = classes.filter("id IS NOT NULL").select("id").distinct()
-
-    named = base.select(F.col("doc_id").alias("id"), "text")
-    tokens = named.mapInArrow(_prefixes(sketch, width, percent), "id long, n_shingles long, tokens array<bigint>").join(firsts, "id")
-    members = written(neighbourhoods(tokens, percent))
+    # a class's first text by id; classes are numbered in that order
+    held = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
+    classes = written(rank_rows(held.select(*key, "f.*"), [F.col(c) for c in ("doc_id", *key)], "id"))
+    firsts = classes.select("doc_id", "text_hash", "id")
+    total_shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
+
+    tokens = rare_members(base.join(firsts, ["doc_id", "text_hash"]).select("id", "text"), classes.select("id", "n_shingles"), total_shingles, width, percent, shard_shingles)
+    members = written(neighbourhoods(written(tokens), percent))
+    asked = members.select("id").distinct().join(firsts, "id")
+    named = written(base.join(asked, ["doc_id", "text_hash"]).select("id", "text"))
     small, before = F.col("_w") <= block_shingles, None
     while True:
         places = members.groupBy("place").agg(F.sum("n_shingles").alias("_w"))
@@ -330,11 +362,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         pairs = cut.join(open_, "unit").withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
         second = pairs.join(named, "id").select("id", "unit", "low", "high", "text", "known", (F.col("block") != F.col("low")).cast("int").alias("part"))
         links = links.union(second.groupBy("unit", "low", "high").applyInPandas(_unit_links(width, percent), "a long, b long"))
-    repeated = sets.join(classes, key).filter("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("_x"), F.max("id").alias("_y"))
-    repeated = repeated.filter("_x < _y").select(F.explode(F.array("_x", "_y")).alias("a"), F.col("doc_id").alias("b"))
+    placed_sets = sets.join(classes.select(*key, "id"), key, "left")
+    # rows that repeat a doc_id link the classes of their texts
+    leads = placed_sets.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a < _last").select("doc_id", "a")
+    repeated = leads.join(placed_sets.select("doc_id", F.col("id").alias("b")), "doc_id").filter("a <> b").select("a", "b").distinct()
     joined = connected_components(links.union(repeated), "a", "b")
-    named_classes = classes.join(joined, classes["id"] == joined["node"], "left").select(*key, F.coalesce("component", "id").alias("_c"))
-    return sets.join(named_classes, key, "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    named_ids = classes.select("id", "doc_id")
+    moved = joined.join(named_ids.withColumnRenamed("id", "component"), "component").select(F.col("node").alias("id"), F.col("doc_id").alias("_c"))
+    own = classes.select(*key, "id", F.col("doc_id").alias("_own")).join(moved, "id", "left").select(*key, F.coalesce("_c", "_own").alias("_c"))
+    return sets.join(own, key, "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
