@@ -167,8 +167,8 @@ def number_by_first_id(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_by_linkage(points: np.ndarray, weights: np.ndarray, n_clusters: int, linkage: str) -> np.ndarray:
-    """Ward, complete or average linkage of a bounded number of weighted points.
+def linkage_merges(points: np.ndarray, weights: np.ndarray, linkage: str) -> list[tuple[float, int, int]]:
+    """(height, a, b) of the merges of a bounded number of weighted points by ward, complete or average linkage, by height; a < b stands for both afterwards.
 
     Nearest-neighbour chain with the Lance-Williams update; a node of weight w
     counts as w items at its place.
@@ -215,8 +215,12 @@ def merge_by_linkage(points: np.ndarray, weights: np.ndarray, n_clusters: int, l
         else:
             chain.append(near)
     # The chain finds merges out of order; by height they form the same tree.
-    order = np.argsort([m[0] for m in merges], kind="stable")
-    keep = order[: max(0, n - max(1, n_clusters))]
-    a = np.array([m[1] for m in merges], int)
-    b = np.array([m[2] for m in merges], int)
-    return cut_tree(n, a, b, keep)
+    return [merges[i] for i in np.argsort([m[0] for m in merges], kind="stable")]
+
+
+def merge_by_linkage(points: np.ndarray, weights: np.ndarray, n_clusters: int, linkage: str) -> np.ndarray:
+    """Cluster of each of a bounded number of weighted points; see ``linkage_merges``."""
+    n = len(points)
+    merges = linkage_merges(points, weights, linkage)
+    kept = merges[: max(0, n - max(1, n_clusters))]
+    return cut_tree(n, np.array([m[1] for m in kept], int), np.array([m[2] for m in kept], int), np.arange(len(kept)))

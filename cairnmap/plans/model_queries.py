@@ -53,9 +53,9 @@ def stream_texts(spark, sf):
         ).alias("metadata"),
         F.col("text").alias("extracted_text"),
     )
-    texts = incremental.text_stream(rows)
-    for attempt in (1, 2):
-        incremental.run_available(texts, incremental.append_new(f"{folder}/out", "item_id"), f"{folder}/progress-{attempt}")
+    texts = incremental.first_of_key(incremental.text_stream(rows), "item_id")
+    for _ in range(2):
+        incremental.run_available(texts, incremental.write_batches(f"{folder}/out"), f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").select("item_id", "text_hash")
 
 
@@ -65,7 +65,7 @@ def stream_cells(spark, sf):
     arriving = incremental.watch(spark, sf, I.table(spark, sf, "embeddings").schema, name_filter="embeddings.parquet")
     vectors = arriving.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     cells = incremental.cell_stream(vectors, I.codebook(spark, sf))
-    incremental.run_available(cells, incremental.append_new(f"{folder}/out", "item_id"), f"{folder}/progress")
+    incremental.run_available(incremental.first_of_key(cells, "item_id"), incremental.write_batches(f"{folder}/out"), f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").select("item_id", "node_index")
 
 
@@ -144,6 +144,17 @@ def pca_variance(spark, sf):
     return per_dim.agg(F.round(F.sum("v"), 6).alias("variance"))
 
 
+@query("pca_wide_variance", over("vec_", sql="""
+    SELECT round(sum(v), 6) AS variance FROM (SELECT pos, var_samp(x) AS v FROM (
+        SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vec_) GROUP BY 1)"""))
+def pca_wide_variance(spark, sf):
+    """The same total from components that the search for wide vectors finds."""
+    points = I.vectors(spark, sf)
+    full = pca.project(points, pca.fit_pca(points, 1 << 20, max_width=16))
+    per_dim = full.select(F.posexplode("coordinates").alias("dim", "x")).groupBy("dim").agg(F.var_samp("x").alias("v"))
+    return per_dim.agg(F.round(F.sum("v"), 6).alias("variance"))
+
+
 @query("pca_explained")
 def pca_explained(spark, sf):
     fitted = pca.fit_pca(I.vectors(spark, sf), 10)

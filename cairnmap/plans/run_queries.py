@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnmap.functions import prompts, vectors as V
-from cairnmap.operators import labels, merge, metrics, registry, views
+from cairnmap.operators import labels, merge, metrics, registry, search_index, views
 from cairnmap.operators.embed import item_vectors
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
@@ -410,6 +410,16 @@ def search_filter(spark, sf):
     return joined.filter(matches).select("item_id")
 
 
+@query("search_indexed", over("rows_", "reps_", sql=f"SELECT row_id AS item_id FROM rows_ JOIN reps_ p ON p.item_id = row_id WHERE {_MATCH}"))
+def search_indexed(spark, sf):
+    """The same search through a stored index of three-character grams."""
+    joined, _ = _searched(spark, sf)
+    items = joined.select("item_id", F.col("record_name").alias("name"), F.col("embedding_text").alias("text"), "metadata")
+    folder = scratch_folder(spark, "grams")
+    search_index.add_to_index(folder, items)
+    return search_index.search(items, folder, " The doc- ", {"source": " RC1 ", "": "x", "lang": ""}).select("item_id")
+
+
 @query("visibility", over("rows_", "reps_", "asg_doc_", sql=f"""
     SELECT row_id AS item_id, CASE WHEN {_MATCH} AND cluster_id = 3 THEN 'full' ELSE 'faded' END AS shown
     FROM rows_ JOIN reps_ p ON p.item_id = row_id JOIN asg_doc_ a ON a.item_id = row_id"""))

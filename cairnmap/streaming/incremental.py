@@ -1,8 +1,8 @@
 """Incremental ingest with Structured Streaming.
 
-New files of a folder become texts or map cells as they arrive. The steps are
-stateless; what is stored already is found by an anti-join per batch, so a
-batch that runs twice after a failure adds nothing the second time.
+New files of a folder become texts or map cells as they arrive. ``first_of_key`` keeps the keys seen so far in Spark's state store and
+``write_batches`` gives every batch a folder of its own, so a batch costs what it brings, however much is stored, and one that runs twice after a failure
+replaces what its first try wrote. ``append_new`` is for sinks that other writers fill as well: it looks the batch's keys up in what is stored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,27 @@ def cell_stream(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
     return best_nodes(vectors, codebook)
 
 
+def first_of_key(stream: DataFrame, key: str, event_time: str | None = None, within: str | None = None) -> DataFrame:
+    """The first row of each key over the stream's life; rows whose key came before are dropped by the state store.
+
+    With an event time the key is forgotten ``within`` that time after the watermark, which bounds the state; without one every key is kept.
+    """
+    if event_time is None:
+        return stream.dropDuplicates([key])
+    if within is None:
+        raise ValueError("an event time needs the time within which keys repeat")
+    return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
+
+
+def write_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer with one folder per batch number, replaced when the batch runs again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return write
+
+
 def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """Batch writer that adds the rows whose key is not stored yet, one per key."""
 

@@ -34,6 +34,24 @@ def test_pca_width_is_capped(points, n, d, k, width):
     assert stacked(pca.pca(points(x), k)).shape == (n, width)
 
 
+def test_wide_components_equal_the_exact_ones(points):
+    """The block iteration at a small width: explained variance, axes up to a tolerance, and a block as wide as the vectors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 64)) * np.linspace(4, 0.2, 64) + rng.normal(size=64)
+    exact, wide = pca.fit_pca(points(x), 6), pca.fit_pca(points(x, partitions=7), 6, max_width=16)
+    assert np.allclose(exact.explained, wide.explained, atol=1e-6) and np.allclose(exact.axes, wide.axes, atol=1e-2)
+    assert np.allclose(wide.axes.T @ wide.axes, np.eye(6), atol=1e-9)
+    whole = pca.fit_pca(points(x), 64, max_width=16)
+    assert np.isclose(whole.explained.sum(), 1, atol=1e-9)
+    assert pca.fit_pca(points(np.ones((5, 20))), 3, max_width=16).explained.tolist() == [0, 0, 0]
+
+
+def test_components_past_the_widest_square(points):
+    x = np.random.default_rng(4).normal(size=(60, 1)) @ np.random.default_rng(5).normal(size=(1, 9000))
+    found = pca.fit_pca(points(x), 2)
+    assert found.axes.shape == (9000, 2) and found.explained[0] > 0.999999
+
+
 def test_curve():
     assert np.allclose(umap.curve(0.1), (1.577, 0.895), atol=0.01)
     assert np.allclose(umap.curve(0.5), (0.583, 1.334), atol=0.01)
