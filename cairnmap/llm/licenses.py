@@ -3,8 +3,8 @@
 A template is a licence notice with a label and a mandatory key phrase. Document frequencies of all
 template words are counted over the whole corpus; the highest-IDF words of each template, the key
 phrase's own among them, form the index: word -> (template, offset). In each text every index word is
-looked up, its postings give template starts by relative position, and a start counts when the key
-phrase stands there word for word. All of that happens inside the row: the only shuffle carries one
+looked up, its postings give template starts by relative position, starts on which two index words agree are
+kept, and one of them counts when the key phrase stands there word for word. All of that happens inside the row: the only shuffle carries one
 partial count per template word and task, so no key can be hot and long texts stay where they are.
 """
 
@@ -76,7 +76,7 @@ NOTICES = (
              "free and unencumbered software"),
 )
 
-# Index words per template; the key phrase's rarest word is always one of them.
+# Index words per template, besides the key phrase's two rarest words; two of them must agree on a start.
 INDEX_WORDS = 3
 # Share of a template's IDF mass that has to stand at its place.
 MIN_COVERAGE = 0.6
@@ -103,9 +103,9 @@ def word_idf(docs: DataFrame, templates, text: str = "text") -> dict[str, float]
 
 
 def rare_words(template: Template, idf: dict[str, float], n: int = INDEX_WORDS) -> list[str]:
-    """The template's index words: its rarest ones and the rarest of its key phrase; ties by the alphabet."""
+    """The template's index words: its rarest ones and the two rarest of its key phrase; ties by the alphabet."""
     rank = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))
-    return list(dict.fromkeys(rank(template.key_words)[:1] + rank(template.words)[:n]))
+    return list(dict.fromkeys(rank(template.key_words)[:2] + rank(template.words)[:n]))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates=BASE + NOTICES,
@@ -144,7 +144,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates=BASE + NOTICES,
     codes = F.flatten(F.transform("_hits", lambda h: F.transform(
         F.element_at(index, h["w"]),
         lambda p: F.shiftleft(p["t"], _START_BITS) + h["i"] - p["o"] + _START_BIAS)))
-    aligned = looked_up.select("*", F.array_distinct(codes).alias("_starts"))
+    # postings of different index words are intersected: a start needs two of them, as every key phrase has
+    sorted_ = looked_up.select("*", F.array_sort(codes).alias("_codes"))
+    met = F.filter("_codes", lambda c, i: (i > 0) & (c == F.get("_codes", i - 1)))
+    aligned = sorted_.select("*", F.array_distinct(met).alias("_starts"))
 
     def verify(code: Column) -> Column:
         start = code.bitwiseAND(F.lit((1 << _START_BITS) - 1)).cast("int") - _START_BIAS
@@ -190,8 +193,8 @@ def oracle(templates=BASE + NOTICES, min_coverage: float = MIN_COVERAGE) -> str:
         firsts AS (SELECT r, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
             WHERE list_has_any(words, (SELECT list(DISTINCT key[1]) FROM tpl))),
         places AS (SELECT r, words, t, label, base, i - 1 - skip AS start FROM firsts JOIN tpl ON word = key[1]
-            WHERE words[i:i + len(key) - 1] = key AND i - 1 - skip >= 0),
-        cov AS (SELECT r, p.t, label, base, start, sum(CASE WHEN words[start + j] = word THEN x ELSE 0 END) / any_value(total) AS c
+            WHERE words[i:i + len(key) - 1] = key),
+        cov AS (SELECT r, p.t, label, base, start, sum(CASE WHEN start + j >= 1 AND words[greatest(start + j, 1)] = word THEN x ELSE 0 END) / any_value(total) AS c
             FROM places p JOIN tw USING (t) JOIN idf USING (word) JOIN mass USING (t) GROUP BY ALL),
         kept AS (SELECT * FROM cov WHERE base OR c >= {min_coverage}),
         per AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
