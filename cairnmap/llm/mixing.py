@@ -111,6 +111,15 @@ def plan_mix(docs: DataFrame, size: str, source: str = "source", doc_id: str = "
                          (F.col("_offset") + F.col("_inside")).alias("_from"), copies.alias("_copies"))
 
 
+def _position(copy: Column, schedules) -> Column:
+    """The training time of a planned row's copy: when its source's schedule has asked for the words up to its middle."""
+    share = (copy * F.col("_source_size") + F.col("_from") + F.col("_size") / 2) / F.col("_target")
+    position = F.lit(None).cast("double")
+    for i, knots in enumerate(schedules):
+        position = F.when(F.col("_rank") % len(schedules) == i, time_of(share, knots)).otherwise(position)
+    return position
+
+
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
                 weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
     """The training order: a row per taken copy with all columns of ``docs``, ``copy`` and ``position`` (0..1), range-sorted.
@@ -122,22 +131,34 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     rest = [c for c in docs.columns if c not in ("copy", "position")]
     planned = plan_mix(docs.select(*rest, word_count(F.col(text)).alias("_size")), "_size", source, doc_id, weights, epochs)
     taken = planned.filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    share = (F.col("copy") * F.col("_source_size") + F.col("_from") + F.col("_size") / 2) / F.col("_target")
-    position = F.lit(None).cast("double")
-    for i, knots in enumerate(schedules):
-        position = F.when(F.col("_rank") % len(schedules) == i, time_of(share, knots)).otherwise(position)
-    placed = taken.select(*rest, "copy", position.alias("position"))
+    placed = taken.select(*rest, "copy", _position(F.col("copy"), schedules).alias("position"))
     return placed.repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id, "copy")
 
 
 def mix_report(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
-               weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target and taken (words, repeats counted); see ``plan_mix``."""
+               weights: Sequence[int] = WEIGHTS, epochs: int = MAX_EPOCHS, schedules=SCHEDULES) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted; see ``plan_mix``), copies and position.
+
+    ``position`` is the training time of the first copy, null for rows that are not taken.
+    """
     sized = written(docs.select(doc_id, source, word_count(F.col(text)).alias("_size")))
     planned = plan_mix(sized, "_size", source, doc_id, weights, epochs)
     return planned.select(F.col(doc_id).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                          F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+                          F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").cast("long").alias("copies"),
+                          F.when(F.col("_copies") > 0, F.round(_position(F.lit(0), schedules), 9)).alias("position"))
+
+
+def _time_sql(share: str, knots: Sequence[tuple[float, float]]) -> str:
+    """``time_of`` in SQL."""
+    out = str(float(knots[-1][0]))
+    for low, high, start, length, left, right in reversed(_segments(knots)):
+        part = f"(least(greatest(({share} - {low!r}::DOUBLE) / {high - low!r}::DOUBLE, 0), 1) * {(left + right) / 2!r}::DOUBLE)"
+        x = f"(CASE WHEN {part} <= 0 THEN 0 ELSE 2 * {part} / ({left!r}::DOUBLE + sqrt(greatest({left * left!r}::DOUBLE + {2 * (right - left)!r}::DOUBLE * {part}, 0))) END)"
+        out = f"CASE WHEN {share} <= {high!r}::DOUBLE THEN {start!r}::DOUBLE + {length!r}::DOUBLE * {x} ELSE {out} END"
+    return out
+
 
+_TIMES = " ".join(f"WHEN {i} THEN {_time_sql('(mid / target)', knots)}" for i, knots in enumerate(SCHEDULES))
 
 ORACLE = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
@@ -146,10 +167,10 @@ ORACLE = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coale
     l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS lev
         FROM c WINDOW up AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     f AS (SELECT lev AS level FROM l WHERE lev * w <= cap ORDER BY cap / w, r LIMIT 1),
-    t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM f) * w, cap)) AS target FROM l),
-    p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+    t AS (SELECT source, source_size, r, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM f) * w, cap)) AS target FROM l),
+    p AS (SELECT d.*, source_size, target, t.r, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS mid
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-    SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-        CAST(size * ((mid < target)::INT + (mid + source_size < target)::INT + (mid + 2 * source_size < target)::INT) AS BIGINT) AS taken
-    FROM p"""
+    SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * n AS BIGINT) AS taken, CAST(n AS BIGINT) AS copies,
+        CASE WHEN n > 0 THEN round(CASE r % {len(SCHEDULES)} {_TIMES} END, 9) END AS position
+    FROM (SELECT *, (mid < target)::INT + (mid + source_size < target)::INT + (mid + 2 * source_size < target)::INT AS n FROM p)"""
