@@ -7,7 +7,9 @@ graph has at most one row per pair; a round is a join and a sum with partial sum
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +18,7 @@ from cairnmap.session import written
 # Fixed values: (verdict, rule host, rule path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-# Words in a host name that make it a blocked seed.
+# Words that make a host a blocked seed where they stand alone in its name, between dots and hyphens.
 BLOCKED_WORDS = ("casino", "pills", "bets", "adult", "spam", "porn", "warez", "phish", "malware", "ads-track")
 ROUNDS, DAMPING = 10, 0.85
 # A host without a rule is blocked when its share of distrust exceeds this and its share of trust.
@@ -71,24 +73,35 @@ def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int = ROUNDS,
     return written(ranks.select("host", "rank"))
 
 
-def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, blocked_words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
+def _word_pattern(words: Sequence[str]) -> str:
+    return f"(^|[.-])({'|'.join(re.escape(w) for w in words)})([.-]|$)"
+
+
+def _ruled(host: Column, rules, verdict: str) -> Column:
+    """Whether a rule of that verdict for all paths fits the host."""
+    fits = [(host == on) | host.endswith("." + on) for v, on, under in rules if v == verdict and under == "/"]
+    return reduce(lambda a, b: a | b, fits, F.lit(False))
+
+
+def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, blocked_words: Sequence[str] = BLOCKED_WORDS,
+                seeds: DataFrame | None = None) -> DataFrame:
     """(host, trust, distrust, blocked): every host of a page or a link.
 
-    Blocked seeds are hosts with a blocked word in their name; trusted seeds are the other hosts that an
-    allow rule for all paths fits. ``blocked`` is true for blocked seeds and for hosts whose distrust exceeds
+    Blocked seeds are hosts that a block rule for all paths fits, hosts with a blocked word standing alone in their name, and hosts that ``seeds``
+    (host, bad) marks as bad; trusted seeds are the other hosts that an allow rule for all paths fits or that ``seeds`` marks as not bad. ``blocked`` is true for blocked seeds and for hosts whose distrust exceeds
     ``MIN_DISTRUST`` and their trust, unless they are trusted seeds.
     """
     links = written(host_links(pages, url, html))
     named = pages.select(host_of(F.col(url)).alias("host")).filter("host <> ''").distinct()
     hosts = named.union(links.select("src")).union(links.select("dst")).distinct()
-    words = F.lit(False)
-    for w in blocked_words:
-        words = words | F.col("host").contains(w)
-    allowed = F.lit(False)
-    for verdict, on, under in rules:
-        if verdict == "allow" and under == "/":
-            allowed = allowed | (F.col("host") == on) | F.col("host").endswith("." + on)
-    seeded = written(hosts.select("host", words.alias("bad"), (allowed & ~words).alias("good")))
+    bad, allowed = _ruled(F.col("host"), rules, "block"), _ruled(F.col("host"), rules, "allow")
+    if blocked_words:
+        bad = bad | F.col("host").rlike(_word_pattern(blocked_words))
+    if seeds is not None:
+        listed = seeds.groupBy(F.translate("host", UPPER, LOWER).alias("host")).agg(F.max("bad").alias("_listed"))
+        hosts = hosts.join(listed, "host", "left")
+        bad, allowed = bad | F.coalesce("_listed", F.lit(False)), allowed | F.coalesce(~F.col("_listed"), F.lit(False))
+    seeded = written(hosts.select("host", bad.alias("bad"), (allowed & ~bad).alias("good")))
     trust = spread(seeded, links, "good").withColumnRenamed("rank", "trust")
     distrust = spread(seeded, links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), "bad").withColumnRenamed("rank", "distrust")
     judged = seeded.join(trust, "host").join(distrust, "host")
@@ -97,14 +110,14 @@ def score_hosts(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
 
 
 def judge_urls(pages: DataFrame, keep: Sequence[str] = ("page_id",), url: str = "url", html: str = "html", rules=RULES,
-               blocked_words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
+               blocked_words: Sequence[str] = BLOCKED_WORDS, seeds: DataFrame | None = None) -> DataFrame:
     """The columns ``keep`` with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust`` of every row.
 
     The longest fitting rule decides; without one, the host's ``blocked`` does. A null url and one without
     ``://`` have empty host and path, no rule, trust and distrust 0, and are allowed; null html has no links. Rows are judged one by
     one, repeated rows alike; an empty table gives an empty table. Columns in ``keep`` must not bear the added names.
     """
-    hosts = score_hosts(pages, url, html, rules, blocked_words).withColumnRenamed("host", "_host")
+    hosts = score_hosts(pages, url, html, rules, blocked_words, seeds).withColumnRenamed("host", "_host")
     named = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     judged = ruled.join(hosts, ruled["host"] == hosts["_host"], "left")
@@ -117,8 +130,8 @@ def judge_urls(pages: DataFrame, keep: Sequence[str] = ("page_id",), url: str =
 
 def oracle(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
     """DuckDB SQL of the query's rows, the rounds of both propagations written out."""
-    words = " OR ".join(f"contains(host, '{w}')" for w in BLOCKED_WORDS)
     fits = "(host = '{0}' OR ends_with(host, '.{0}'))"
+    words = " OR ".join([f"regexp_matches(host, '{_word_pattern(BLOCKED_WORDS)}')", *[fits.format(h) for v, h, p in RULES if v == "block" and p == "/"]])
     allowed = " OR ".join(fits.format(h) for v, h, p in RULES if v == "allow" and p == "/") or "false"
     rules = " ".join(f"WHEN {fits.format(h)} AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
     parts = [f"""WITH p AS MATERIALIZED (SELECT *, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
