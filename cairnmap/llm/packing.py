@@ -1,7 +1,7 @@
 """Best-fit packing under conflicts: documents into sequences of a fixed length.
 
 A bin never holds two pieces of one duplicate cluster, and only so many of one source. Pieces are dealt
-to shards of bounded size by a hash, so a hot source or cluster is spread over all of them; a shard is packed by
+to shards of bounded size by a hash, counted from the pieces, so a hot source or cluster is spread over all of them; a shard is packed by
 best-fit decreasing. Its open bins are kept in the order of what is left in them, with bitmaps of their
 sources and clusters; the search starts at the successor of the piece's size and goes on until the
 tightest compatible bin, or opens a new one.
@@ -83,13 +83,24 @@ def pack_documents(docs: DataFrame, text: str = "text", source: str = "source",
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("_size"),
         (F.md5(F.coalesce(F.col(text), F.lit(""))) if cluster is None else cluster.cast("string")).alias("cluster"))
+    return _packed(written(sized.withColumn("_row", F.monotonically_increasing_id())), capacity, source_limit, shard_pieces)
+
+
+def _packed(sized: DataFrame, capacity: int, source_limit: int, shard_pieces: int) -> DataFrame:
+    """The pieces of rows (doc_id, source, _size, cluster, _row), dealt to as many shards as their number asks for.
+
+    A piece's shard is a hash of its row's id, cluster and number; rows that repeat an id are told apart by ``_row``, so no shard gets
+    all repeats of a row.
+    """
     last = F.greatest(F.ceil(F.col("_size") / capacity) - 1, F.lit(0)).cast("int")
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("piece").cast("long") * capacity
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("_size") - start, F.lit(capacity)).alias("n_words"))
-    total = docs.select(F.count("*").alias("n")).first()["n"]
+    total = sized.agg(F.sum(last.cast("long") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)))
+    repeats = sized.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_again"))
+    apart = sized.join(repeats.withColumn("_repeated", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_again")), "left")
+    pieces = apart.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    start = F.col("piece").cast("long") * capacity
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "piece", F.when(F.col("_repeated"), F.col("_row"))), F.lit(shards))
+    dealt = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.col("_size") - start, F.lit(capacity)).alias("n_words"), shard.alias("shard"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_words", "doc_id", "cluster", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -104,21 +115,22 @@ def pack_documents(docs: DataFrame, text: str = "text", source: str = "source",
         group["bin_offset"] = (group.groupby(bins)["n_words"].cumsum() - group["n_words"]).where(pd.Series(full)).astype("Int64")
         return group.drop(columns="shard")
 
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = sized.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInPandas(
         run, f"doc_id {kind}, source string, cluster string, piece int, start long, n_words long, bin_id long, bin_offset long")
 
 
-def pack_near_copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``pack_documents`` with groups of near copies (``jaccard_components`` of the rows' texts) as clusters.
+def pack_near_copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", capacity: int = CAPACITY,
+                     source_limit: int = SOURCE_LIMIT, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """``pack_documents`` with groups of near copies (``jaccard_components`` of the texts) as clusters, named by their smallest id.
 
-    A cluster is named by the lowest MD5 of its texts; a text without words has none.
+    A row without words has no cluster; nor has one without an id unless a row with an id has the same text. Rows that
+    repeat an id are one cluster.
     """
-    rows = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
-                               F.monotonically_increasing_id().alias("_row")))
-    groups = written(jaccard.jaccard_components(rows, "_row").filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id"))
-    marked = rows.select("_row", F.md5("text").alias("_md5")).join(groups, "_row")
-    names = marked.groupBy("component_id").agg(F.min("_md5").alias("cluster"))
-    named = rows.join(groups, "_row", "left").join(names, "component_id", "left")
-    packed = pack_documents(named, cluster=F.col("cluster"), **options)
-    return packed
+    groups = jaccard.jaccard_components(docs, doc_id, text).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+    named = groups.select(F.col("doc_id").alias("_of"), F.col("cluster").cast("string").alias("cluster"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("_size"),
+                        F.monotonically_increasing_id().alias("_row"))
+    joined = sized.join(named, sized["doc_id"].eqNullSafe(named["_of"]), "left")
+    marked = joined.select("doc_id", "source", "_size", F.when(F.col("_size") > 0, F.col("cluster")).alias("cluster"), "_row")
+    return _packed(written(marked), capacity, source_limit, shard_pieces)
