@@ -206,13 +206,20 @@ def _shared_members(bits: int):
             cells.append(np.cumsum(_unsqueezed(row["cells"], row["n"])) + np.uint64(row["low"]))
             ids.append(_unsqueezed(row["ids"], row["n"]))
         cell, who = np.concatenate(cells), np.concatenate(ids)
+        order = np.argsort(cell, kind="stable")  # a merge of sorted runs
+        cell, who = cell[order], who[order]
+        again = np.zeros(len(cell) + 1, bool)
+        again[1:-1] = cell[1:] == cell[:-1]
+        several = again[1:] | again[:-1]
+        cell, who = cell[several], who[several]
         order = np.lexsort((who, cell))
         cell, who = cell[order], who[order]
         fresh = np.ones(len(cell), bool)
         fresh[1:] = (cell[1:] != cell[:-1]) | (who[1:] != who[:-1])
         cell, who = cell[fresh], who[fresh]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        often = np.repeat(np.diff(np.append(first, len(cell))), np.diff(np.append(first, len(cell))))
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)])
+        times = np.diff(np.append(first, len(cell)))
+        often = np.repeat(times, times)
         kept = often > 1
         member = (np.minimum(often[kept], MOST_OFTEN).astype(np.int64) << bits) | cell[kept].astype(np.int64)
         return pa.table({"id": pa.array(who[kept].astype(np.int64)), "member": pa.array(member)})
