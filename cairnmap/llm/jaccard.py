@@ -18,7 +18,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -139,17 +139,18 @@ def forest(texts: list[bytes], parts: np.ndarray, known: np.ndarray, width: int
     return links
 
 
-_SETS = "doc_id long, text_hash long, n_shingles long, digest_a long, digest_b long"
+_SETS = "n_words long, n_shingles long, digest_a long, digest_b long"
 
 
 def _digests(width: int):
-    """Each row's set size and a 128-bit digest of its set."""
+    """Each row's words, set size and a 128-bit digest of its set, beside its other columns."""
     def fn(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        members, first = text_sets(texts, width)
+        words = split_words(texts, ASCII_SPACE, LOWER)
+        members, first = distinct_sets(*shingles(words, width), len(texts))
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members + np.uint64(salt)))]) for salt in (17, 91)]
-        kept = [piece.column(piece.schema.get_field_index(c)) for c in ("doc_id", "text_hash")]
-        added = [pa.array(np.diff(first), pa.int64()), *[pa.array((x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]]
-        return pa.RecordBatch.from_arrays([*kept, *added], names=[x.split()[0] for x in _SETS.split(", ")])
+        kept = [(c, f.name) for c, f in zip(piece.columns, piece.schema) if f.name != "text"]
+        added = [pa.array(words.counts, pa.int64()), pa.array(np.diff(first), pa.int64()), *[pa.array((x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]]
+        return pa.RecordBatch.from_arrays([*[c for c, _ in kept], *added], names=[*[n for _, n in kept], *[x.split()[0] for x in _SETS.split(", ")]])
 
     return over_texts(fn)
 
@@ -331,8 +332,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     or null if no row with an id has the same set. Very long texts are sets like any other; a block holds at least
     one text. An empty table gives an empty table; other columns are ignored.
     """
+    return components_with(docs, (), doc_id, text, width, percent, block_shingles, shard_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def components_with(docs: DataFrame, keep: Sequence[str], doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
+                    block_shingles: int = BLOCK_SHINGLES, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """``jaccard_components`` with each row's ``n_words`` and its columns ``keep`` as ``kept_0``, ``kept_1``, ..."""
+    kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").cast("binary").alias("text"))
-    sets = written(base.mapInArrow(_digests(width), _SETS))
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), *kept, F.col(f"`{text}`").cast("binary").alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
+    sets = written(slim.mapInArrow(_digests(width), f"{kinds}, {_SETS}"))
     key = ["n_shingles", "digest_a", "digest_b"]
     # a class's first text by id; classes are numbered in that order
     held = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
@@ -377,7 +387,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named_ids = classes.select("id", "doc_id")
     moved = joined.join(named_ids.withColumnRenamed("id", "component"), "component").select(F.col("node").alias("id"), F.col("doc_id").alias("_c"))
     own = classes.select(*key, "id", F.col("doc_id").alias("_own")).join(moved, "id", "left").select(*key, F.coalesce("_c", "_own").alias("_c"))
-    return sets.join(own, key, "left").select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    names = [f"kept_{i}" for i in range(len(keep))]
+    return sets.join(own, key, "left").select("doc_id", *names, "n_words", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -127,10 +127,7 @@ def pack_near_copies(docs: DataFrame, text: str = "text", source: str = "source"
     A row without words has no cluster; nor has one without an id unless a row with an id has the same text. Rows that
     repeat an id are one cluster.
     """
-    groups = jaccard.jaccard_components(docs, doc_id, text).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
-    named = groups.select(F.col("doc_id").alias("_of"), F.col("cluster").cast("string").alias("cluster"))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("_size"),
-                        F.monotonically_increasing_id().alias("_row"))
-    joined = sized.join(named, sized["doc_id"].eqNullSafe(named["_of"]), "left")
-    marked = joined.select("doc_id", "source", "_size", F.when(F.col("_size") > 0, F.col("cluster")).alias("cluster"), "_row")
-    return _packed(written(marked), capacity, source_limit, shard_pieces)
+    found = jaccard.components_with(docs, (doc_id, source), doc_id, text)
+    rows = found.select(F.col("kept_0").alias("doc_id"), F.col("kept_1").cast("string").alias("source"), F.col("n_words").alias("_size"),
+                        F.when(F.col("n_words") > 0, F.col("component_id")).cast("string").alias("cluster"), F.monotonically_increasing_id().alias("_row"))
+    return _packed(written(rows), capacity, source_limit, shard_pieces)
