@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions.ranking import top_per_group
 from cairnmap.llm.bytetext import NO_LETTER, over_texts
+from cairnmap.session import written
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -103,12 +104,20 @@ def _frequencies(batches):
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE_ROWS) -> Model:
-    """Learn from rows with a language and a text with a letter; without any, the model knows no language."""
+    """Learn from rows with a language and a text with a letter; without any, the model knows no language.
+
+    Document frequencies are those of all rows, the centroids those of at most ``sample`` distinct texts per language, the lowest by a hash of the text.
+    """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), _folded(docs, text))
     sums = usable.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = sums.set_index("bucket")["n"].reindex(range(-1, DIMENSIONS), fill_value=0).to_numpy()
     idf = (np.log((df[0] + 1) / (df[1:] + 1)) + 1).astype(np.float32)
-    picked = top_per_group(usable.withColumn("h", F.xxhash64("text")), ["lang"], [F.col("h"), F.col("text")], sample)
+    # ranked by hash alone and once per distinct text, so neither texts nor copies meet by language; then the few texts are fetched
+    hashed = usable.withColumn("h", F.xxhash64("text"))
+    drawn = written(top_per_group(hashed.select("lang", "h").distinct(), ["lang"], [F.col("h")], sample).select("lang", "h"))
+    if drawn.select("lang").distinct().count() * 4 * DIMENSIONS > MAX_MODEL_BYTES:
+        raise ValueError("more languages than the centroid table may hold")
+    picked = hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         centers, floor = cluster(vectors(group["text"].tolist(), idf))

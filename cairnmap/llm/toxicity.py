@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from cairnmap.llm.bytetext import CHUNK_BYTES, LOWER, NO_LETTER, Words, over_texts, split_words
 
 BUCKETS_BITS = 18
-# Labelled rows of each label that training may use, chosen by a hash of the text.
-TRAINING_ROWS = 3_000
+# Labelled rows of each label that training may use, chosen by a hash of the text, and bytes of such a text at most.
+TRAINING_ROWS, TRAINING_BYTES = 3_000, 1 << 15
 # Words get a weight if they are in so many training documents and their share of toxic ones lies so many
 # standard deviations above the sample's; all others keep weight 0.
 MIN_DOCS, MIN_DEVIATION = 3, 3.5
@@ -107,12 +107,12 @@ def fit(texts: list[bytes | None], toxic: np.ndarray) -> tuple[np.ndarray, float
     return weights, float(bias)
 
 
-def train(docs: DataFrame, label: str, text: str = "text", rows: int = TRAINING_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``rows`` rows of each label (0 and 1; others are ignored), the lowest by a hash of the text.
+def train(docs: DataFrame, label: str, text: str = "text", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES) -> tuple[np.ndarray, float]:
+    """Fit on at most ``rows`` rows of each label (0 and 1; others are ignored), the lowest by a hash of the text; longer texts than ``most_bytes`` are not drawn.
 
-    The sample is the only thing that comes to the driver, and its size does not grow with the input.
+    The sample is the only thing that comes to the driver, and its size in rows and bytes does not grow with the input.
     """
-    usable = docs.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
+    usable = docs.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.octet_length(text) <= most_bytes)).select(
         F.col(label).cast("int").alias("y"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(text)).alias("h"))
     parts = [usable.filter(F.col("y") == y).orderBy("h").limit(rows).select("y", "text").toArrow() for y in (0, 1)]
     table = pa.concat_tables(parts)
