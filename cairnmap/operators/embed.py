@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairnmap.functions import text as X, vectors as V
 from cairnmap.functions.partitions import widen
+from cairnmap.session import written
 
 BATCH_ROWS = 8
 MAX_TOKENS = 8192
@@ -67,9 +68,13 @@ def embed_texts(pending: DataFrame, fn: Callable[[list[str]], np.ndarray], model
 
 
 def embed_hashed(pending: DataFrame, width: int = HASHED_WIDTH) -> DataFrame:
-    """Built-in text vectors without a pretrained model: hashed TF-IDF, all in the JVM."""
+    """Built-in text vectors without a pretrained model: hashed TF-IDF, all in the JVM.
+
+    Texts are read once: their sparse counts are stored, and document frequencies and weights follow from those.
+    """
     tokens = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+").transform(widen(pending))
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width).transform(tokens)
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width).transform(tokens)
+    counted = written(hashed.select("representation_id", "item_id", "_tf"))
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
     dense = unit.select("representation_id", "item_id", vector_to_array("_unit", "float32").alias("vector"))

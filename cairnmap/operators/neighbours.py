@@ -31,7 +31,8 @@ from cairnmap.functions.ranking import top_per_group
 from cairnmap.operators.sampling import seeded_pick
 from cairnmap.session import checkpointed
 
-BROADCAST_BYTES = 256 * 1024 * 1024
+# What one side may have to be sent to every task; the driver holds it several times over meanwhile.
+BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 4096
 
@@ -180,9 +181,14 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
     between = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1), 0.0)) if n_cells <= 512 else np.vstack(
         [np.sqrt(((centres - c) ** 2).sum(-1)) for c in centres]
     )
-    # From a row at distance g of pivot i, k rows lie within g + reach[i].
-    known = np.sort(between[:, close["_cell"].to_numpy(int)] + close["_gap"].to_numpy()[None, :], axis=1)
-    reach = known[:, want - 1] if known.shape[1] >= want else np.full(n_cells, np.inf)
+    # From a row at distance g of pivot i, k rows lie within g + reach[i]; a few pivots at a time.
+    at, gaps = close["_cell"].to_numpy(int), close["_gap"].to_numpy()
+    reach = np.full(n_cells, np.inf)
+    if len(at) >= want:
+        step = max(1, 4_000_000 // len(at))
+        for start in range(0, n_cells, step):
+            known = between[start:start + step][:, at] + gaps[None, :]
+            reach[start:start + step] = np.partition(known, want - 1, axis=1)[:, want - 1]
     blocks = np.maximum(1, np.ceil(count / block_rows)).astype(np.int64)
     plan = spark.sparkContext.broadcast((count, far, reach, blocks))
 
@@ -239,8 +245,8 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
 
 
 def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length: float, tables: int = 4,
-                    radius: float = math.inf, id_col: str = "item_id", vec_col: str = "vector", seed: int = 42) -> DataFrame:
-    """Neighbours that share a random-projection bucket; misses some, for very wide bases."""
+                    radius: float = math.inf, id_col: str = "item_id", vec_col: str = "vector", seed: int = 42, exclude_self: bool = False) -> DataFrame:
+    """Neighbours that share a random-projection bucket; misses some, and tells not how many. ``descent.nn_descent`` measures its recall."""
     vec = lambda df: df.select(F.col(id_col).alias("id"), array_to_vector(V.as_doubles(F.col(vec_col))).alias("features"))
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
@@ -248,7 +254,7 @@ def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length:
     pairs = model.approxSimilarityJoin(vec(queries), vec(base), radius, "distance").select(
         F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("neighbor_id"), "distance"
     )
-    return _ranked(pairs, k)
+    return _ranked(pairs.filter("query_id <> neighbor_id") if exclude_self else pairs, k)
 
 
 def core_distances(points: DataFrame, min_samples: int, **options) -> DataFrame:

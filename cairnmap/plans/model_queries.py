@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cairnmap.functions.frames import from_pandas
-from cairnmap.operators import agglomerative, codebook, hdbscan, neighbours, pca, registry, som, spanning, umap, views
+from cairnmap.operators import agglomerative, codebook, descent, hdbscan, neighbours, pca, registry, som, spanning, umap, views
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
 from cairnmap.session import scratch_folder
@@ -107,10 +107,17 @@ def knn_search(spark, sf):
 @query("knn_lsh")
 def knn_lsh(spark, sf):
     points = I.vectors(spark, sf)
-    found = neighbours.approximate_knn(points, points, 5, bucket_length=2.0)
+    found = neighbours.approximate_knn(points, points, 5, bucket_length=2.0, exclude_self=True)
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_descent")
+def knn_descent(spark, sf):
+    """Approximate neighbours with the recall that a sample reached."""
+    found = descent.nn_descent(I.vectors(spark, sf), 5)
+    return found.lists.withColumn("distance", F.round("distance", 6)).withColumn("recall", F.lit(found.recall))
+
+
 @query("core_distance", over("vec_", sql="""
     SELECT item_id, round(distance, 6) AS core FROM (SELECT a.item_id, list_distance(a.v, b.v) AS distance,
         row_number() OVER (PARTITION BY a.item_id ORDER BY list_distance(a.v, b.v), b.item_id) AS rank

@@ -25,14 +25,26 @@ def assigned(spark, label, run=1):
     return spark.createDataFrame(rows, "cluster_run_id long, item_id long, cluster_id long")
 
 
-@pytest.mark.parametrize("block_rows", [4096, 30])
-def test_silhouette_is_exact(spark, points, block_rows):
+@pytest.mark.parametrize("block_rows,centre_bytes", [(4096, 1 << 20), (30, 1 << 20), (30, 0)])
+def test_silhouette_is_exact(spark, points, block_rows, centre_bytes):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(150, 4))
     x[40:90] = x[0]  # copies share one position
     label = rng.integers(-1, 4, 150)
     label[5] = 9  # a singleton
-    got = metrics.silhouette(assigned(spark, label), points(x, "coordinates"), block_rows).first()
+    got = metrics.silhouette(assigned(spark, label), points(x, "coordinates"), block_rows, centre_bytes).first()
+    assert got.silhouette == pytest.approx(brute(x, label), abs=0.0011)
+
+
+def test_far_clusters_are_not_visited(spark, points):
+    """Of many clusters in a row only the next ones can be nearest; the score is that of all pairs."""
+    rng = np.random.default_rng(4)
+    label = np.repeat(np.arange(12), 20)
+    x = rng.normal(size=(240, 3)) * 0.3 + np.stack([label * 4.0, label * 0, label % 2], 1)
+    rows = metrics._weighted_points(assigned(spark, label), points(x, "coordinates"))
+    visited = metrics._pruned_sums(rows, metrics._centres(rows), 16).select("point", "other").distinct().count()
+    assert visited < 240 * 4
+    got = metrics.silhouette(assigned(spark, label), points(x, "coordinates"), 16).first()
     assert got.silhouette == pytest.approx(brute(x, label), abs=0.0011)
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from cairnmap.operators import descent
 from cairnmap.operators.neighbours import core_distances, knn
 
 LAYOUTS = {
@@ -59,3 +60,33 @@ def test_core_distance(points, data):
     want = np.sort(d, 1)[:, 5]
     got = {r.item_id: r.core for r in core_distances(points(data), 5).collect()}
     assert np.allclose([got[i] for i in range(len(data))], want)
+
+
+def _exact(x, k):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return np.sort(d, 1)[:, :k]
+
+
+def test_descent_reaches_its_recall(points):
+    """Lists from small blocks become nearly exact; the recall it states is that of the brute force."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(900, 6)), rng.normal(size=(300, 6)) * 0.1 + 4])
+    x[:30] = x[0]
+    found = descent.nn_descent(points(x), 5, sample_rows=1200)
+    rows = found.lists.toPandas().sort_values(["query_id", "rank"])
+    assert (rows.groupby("query_id")["rank"].apply(list).map(tuple) == (1, 2, 3, 4, 5)).all() and (rows["query_id"] != rows["neighbor_id"]).all()
+    gap = x[rows["query_id"]] - x[rows["neighbor_id"]]
+    assert np.allclose(np.sqrt((gap * gap).sum(1)), rows["distance"])
+    far = _exact(x, 5)[:, -1]
+    hits = (rows["distance"].to_numpy() <= far[rows["query_id"]] + 1e-12).mean()
+    assert found.recall >= 0.95 and abs(found.recall - hits) < 1e-9
+    again = descent.nn_descent(points(x, partitions=8), 5, sample_rows=1200)
+    assert again.recall == found.recall and again.rounds == found.rounds
+    assert again.lists.toPandas().sort_values(["query_id", "rank"])["neighbor_id"].tolist() == rows["neighbor_id"].tolist()
+
+
+def test_descent_of_few_rows(spark, points):
+    assert descent.nn_descent(points([[1.0, 2.0]]), 3).lists.count() == 0
+    few = descent.nn_descent(points([[0.0], [1.0], [5.0]]), 5)
+    assert few.recall == 1.0 and {(r.query_id, r.neighbor_id, r["rank"]) for r in few.lists.collect()} == {(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 1, 1), (2, 0, 2)}
