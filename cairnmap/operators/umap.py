@@ -22,6 +22,7 @@ from cairnmap.functions import vectors as V
 from cairnmap.operators.neighbours import collect_matrix, knn, matrix, nearest_rows
 from cairnmap.operators.pca import pca
 from cairnmap.operators.sampling import seeded_pick
+from cairnmap.operators.spectral import spectral_vectors
 from cairnmap.session import discard, written
 
 N_NEIGHBORS = 15
@@ -117,12 +118,11 @@ def fuzzy_graph(neighbours: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _start(data: DataFrame, dims: int, seed: int) -> DataFrame:
-    """(id, y): first principal coordinates scaled to +-10, with a little noise from a hash of seed, id and axis.
+def _start(placed: DataFrame, dims: int, seed: int) -> DataFrame:
+    """(id, y): the coordinates of (item_id, coordinates) scaled to +-10, with a little noise from a hash of seed, id and axis.
 
     Sums over tasks differ in their last digits, so the scaled coordinates are rounded.
     """
-    placed = written(pca(data, dims))
     top = placed.agg(F.max(F.array_max(F.transform("coordinates", F.abs)))).first()[0] or 0.0
     scale = 10.0 / top if top > 1e-9 else 1.0
     filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.get("coordinates", i), F.lit(0.0)))
@@ -263,8 +263,13 @@ def _move_each(y, items, rows, targets, repel_from, alpha, a, b, salt, pull: flo
 
 
 def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NEIGHBORS, min_dist: float = MIN_DIST,
-         random_state: int = SEED, epochs: int | None = None, **bounds) -> DataFrame:
-    """item_id, coordinates: a layout of all items together. ``n_neighbors`` is capped at the number of items less one."""
+         random_state: int = SEED, epochs: int | None = None, init: str = "pca", **bounds) -> DataFrame:
+    """item_id, coordinates: a layout of all items together. ``n_neighbors`` is capped at the number of items less one.
+
+    ``init`` is where items start: at their first principal components, or at the graph's ``spectral`` vectors after the first.
+    """
+    if init not in ("pca", "spectral"):
+        raise ValueError(f"unknown start {init!r}")
     data = written(vectors.select("item_id", V.as_doubles(F.col("vector")).alias("vector")))
     n = data.count()
     if n < 2:
@@ -274,7 +279,12 @@ def umap(vectors: DataFrame, target_dimensions: int = 2, n_neighbors: int = N_NE
     spread = data.repartition(data.sparkSession.sparkContext.defaultParallelism, "item_id")
     graph = written(fuzzy_graph(knn(spread, data, k, exclude_self=True), k))
     a, b = curve(min_dist)
-    laid = _layout(written(_start(data, target_dimensions, random_state)), graph, n, a, b, 200 if epochs is None else epochs, random_state, **bounds)
+    if init == "pca":
+        first = pca(data, target_dimensions)
+    else:
+        found, _ = spectral_vectors(graph, target_dimensions + 1, random_state)
+        first = found.select(F.col("id").alias("item_id"), F.slice("x", 2, target_dimensions).alias("coordinates"))
+    laid = _layout(written(_start(written(first), target_dimensions, random_state)), graph, n, a, b, 200 if epochs is None else epochs, random_state, **bounds)
     return laid.select(F.col("id").alias("item_id"), F.col("y").alias("coordinates"))
 
 

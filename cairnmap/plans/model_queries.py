@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cairnmap.functions.frames import from_pandas
-from cairnmap.operators import agglomerative, codebook, descent, hdbscan, neighbours, pca, registry, som, spanning, umap, views
+from cairnmap.operators import agglomerative, codebook, descent, hdbscan, neighbours, pca, registry, som, spanning, spectral, umap, views
 from cairnmap.plans import inputs as I
 from cairnmap.plans.catalog import over, query
 from cairnmap.session import scratch_folder
@@ -232,6 +232,15 @@ def fuzzy_graph(spark, sf):
     return graph.withColumn("weight", F.round("weight", 6))
 
 
+@query("spectral_start")
+def spectral_start(spark, sf):
+    """Leading eigenvectors of the neighbour graph."""
+    points = I.vectors(spark, sf)
+    graph = umap.fuzzy_graph(neighbours.knn(points, points, 14, exclude_self=True), 14)
+    found, _ = spectral.spectral_vectors(graph, 3)
+    return found.select(F.col("id").alias("item_id"), F.posexplode("x").alias("dim", "x")).withColumn("x", F.round("x", 3))
+
+
 @query("umap_2d")
 def umap_2d(spark, sf):
     return _rounded(umap.umap(I.vectors(spark, sf), 2))

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
-from cairnmap.operators import pca, som, umap
+from cairnmap.operators import pca, som, spectral, umap
 
 
 def stacked(df, column="coordinates"):
@@ -91,6 +91,36 @@ def test_layout_keeps_neighbourhoods_and_repeats(points, blobs, landmarks):
     assert np.array_equal(first, again)
 
 
+def test_spectral_vectors_equal_the_exact_ones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3)) + np.repeat([[0, 0, 0], [2, 0, 0], [0, 3, 0]], [80, 70, 50], axis=0)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    w = np.zeros((200, 200))
+    for i in range(200):
+        for j in np.argsort(d[i])[1:9]:
+            w[i, j] = w[j, i] = np.exp(-d[i, j])
+    edges = [(i, j, float(w[i, j])) for i in range(200) for j in range(i) if w[i, j] > 0]
+    found, values = spectral.spectral_vectors(spark.createDataFrame(edges, "item_id long, other_id long, weight double").repartition(4), 3)
+    exact, axes = np.linalg.eigh(w / np.sqrt(np.outer(w.sum(1), w.sum(1))))
+    got = np.array([r.x for r in sorted(found.collect())])
+    assert np.allclose(values, exact[::-1][:3], atol=1e-6)
+    for i in range(3):
+        assert abs(got[:, i] @ axes[:, -1 - i]) > 0.9999 and got[np.abs(got[:, i]).argmax(), i] > 0
+
+
+def test_spectral_vectors_of_a_pair(spark):
+    found, values = spectral.spectral_vectors(spark.createDataFrame([(1, 2, 0.5)], "item_id long, other_id long, weight double"), 3)
+    assert np.allclose(values, [1, -1]) and np.allclose(np.abs([r.x for r in found.collect()]), 0.5 ** 0.5)
+
+
+def test_layout_from_spectral_vectors(points, blobs):
+    x, label = blobs
+    y = stacked(umap.umap(points(x), 2, epochs=40, init="spectral"))
+    assert np.isfinite(y).all() and agreement(y, label) > 0.95
+    with pytest.raises(ValueError):
+        umap.umap(points(x), 2, init="random")
+
+
 def test_layout_does_not_depend_on_groups(points, blobs):
     """Many small groups of edges move the items as one group does; parts of hubs and a small pool still keep neighbourhoods."""
     x, label = blobs
