@@ -176,7 +176,7 @@ def _dealt_cells(shards: int, bits: int, width: int):
 
         def flushed() -> pa.RecordBatch:
             cell, who = np.concatenate(cells), np.concatenate(ids)
-            order = np.argsort(cell, kind="stable")
+            order = np.argsort(cell)
             cell, who = cell[order], who[order]
             shard = (cell >> np.uint64(bits - 31)).astype(np.int64) * shards >> 31
             first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
@@ -347,12 +347,13 @@ def components_with(docs: DataFrame, keep: Sequence[str], doc_id: str = "doc_id"
     # a class's first text by id; classes are numbered in that order
     held = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
     classes = written(rank_rows(held.select(*key, "f.*"), [F.col(c) for c in ("doc_id", *key)], "id"))
-    firsts = classes.select("doc_id", "text_hash", "id")
+    # texts meet a narrow row of their class, hashed, so that they need no sort
+    firsts = classes.select("doc_id", "text_hash", "id").hint("shuffle_hash")
     total_shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
 
     tokens = rare_members(base.join(firsts, ["doc_id", "text_hash"]).select("id", "text"), classes.select("id", "n_shingles"), total_shingles, width, percent, shard_shingles)
     members = written(neighbourhoods(written(tokens), percent))
-    asked = members.select("id").distinct().join(firsts, "id")
+    asked = members.select("id").distinct().join(classes.select("doc_id", "text_hash", "id"), "id").hint("shuffle_hash")
     named = written(base.join(asked, ["doc_id", "text_hash"]).select("id", "text"))
     small, before = F.col("_w") <= block_shingles, None
     while True:
