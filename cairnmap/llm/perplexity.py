@@ -6,8 +6,6 @@ class of the mass that the discounts free. A token's log probability is a sum of
 and 3-gram that trusted text knows, so one join of the texts' n-grams with the terms, dealt by (key, shard), gives
 every text's perplexity. A trusted text is not judged by n-grams that only its own text has.
 Thresholds are quantiles per language.
-
-The model of word shapes (``shapes`` to ``score_perplexity``) has a bounded vocabulary; no query uses it.
 """
 
 from __future__ import annotations
@@ -30,75 +28,8 @@ QUANTILE, MARGIN = 0.99, 1.5
 PRIOR_TOKENS = 10
 # Copies of a common n-gram's terms in the join, so its rows are dealt over as many keys.
 SHARDS = 8
-VOCABULARY = 256
 START = 0
 
-_CLASS = np.zeros(256, np.uint8)  # 0 other bytes (letters beyond ASCII), 1 lower, 2 upper, 3 digit, 4 symbol
-for _i in range(128):
-    _c = chr(_i)
-    _CLASS[_i] = 1 if _c.islower() else 2 if _c.isupper() else 3 if _c.isdigit() else 4
-_TAIL = np.zeros(256, np.uint8)  # 0 none, 1 pause, 2 stop, 3 other symbol
-for _i in range(128):
-    if _CLASS[_i] == 4:
-        _TAIL[_i] = 1 if chr(_i) in ",;:" else 2 if chr(_i) == "." else 3
-
-
-def shapes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(token of each word: 1 to 255, text number of each word)."""
-    w = split_words(texts)
-    if not len(w.start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kinds = _CLASS[w.data]
-    count = lambda k: (lambda s: s[w.end] - s[w.start])(np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int64)]))
-    lower, upper, digit, symbol = count(1), count(2), count(3), count(4)
-    length = w.end - w.start
-    letters = length - digit - symbol
-    tail = _TAIL[w.data[w.end - 1]].astype(np.int64)
-    kind = np.select(
-        [letters == 0, digit > 0, (upper >= 2) & (lower == 0), (upper == 1) & (kinds[w.start] == 2), upper > 0],
-        [np.where(digit > 0, 4, 5), 4, 2, 1, 3], 0)
-    tail = np.where((symbol > 1) | ((symbol == 1) & (tail == 0)), 3, tail)
-    size = np.digitize(letters, [4, 9])
-    again = np.zeros(len(length), np.int64)
-    again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (w.owner[1:] == w.owner[:-1])
-    return 1 + ((kind * 3 + size) * 4 + tail) * 2 * (again == 0) + again * 200, w.owner
-
-
-def trigrams(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Key of the 3-gram that ends at each token; two start tokens precede every text."""
-    if not len(tokens):
-        return np.zeros(0, np.int64)
-    first = np.searchsorted(owner, owner)
-    at = np.arange(len(tokens))
-    before = np.where(at - 1 >= first, tokens[at - 1], START)
-    earlier = np.where(at - 2 >= first, tokens[at - 2], START)
-    return (earlier * VOCABULARY + before) * VOCABULARY + tokens
-
-
-def _pack(piece: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-    """Each text's distinct 3-grams as longs: key in the upper, count in the lower 32 bits."""
-    tokens, owner = shapes(texts)
-    both, n = np.unique((owner << 24) | trigrams(tokens, owner), return_counts=True)
-    grams = ((both & 0xFFFFFF) << 32) | n
-    cuts = np.searchsorted(both >> 24, np.arange(len(texts) + 1)).astype(np.int32)
-    kept = [(c, f) for c, f in zip(piece.columns, piece.schema) if f.name != "text"]
-    kind = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [c for c, _ in kept] + [pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams, pa.int64())).cast(kind)],
-        schema=pa.schema([f for _, f in kept] + [pa.field("grams", kind)]))
-
-
-def count_grams(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``grams`` of every row, by one pass over the texts."""
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
-    return slim.mapInArrow(over_texts(_pack), f"{schema}, grams array<bigint>")
-
-
-def _exploded(rows: DataFrame, *cols) -> DataFrame:
-    gram = rows.select(*cols, F.explode("grams").alias("_g"))
-    return gram.withColumn("key", F.shiftright("_g", 32)).withColumn("n", F.col("_g").bitwiseAND(F.lit(0xFFFFFFFF))).drop("_g")
-
 
 def _discounts(table: DataFrame, count: str) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and 3 or more from the counts of counts (one row comes to the driver)."""
@@ -123,51 +54,6 @@ def _own(count: str, d: tuple[float, float, float]):
     return F.greatest(F.when(c == 1, c - d[0]).when(c == 2, c - d[1]).otherwise(c - d[2]), F.lit(0.0))
 
 
-def log_probabilities(grams: DataFrame, trusted: str = "trusted") -> DataFrame:
-    """(key, logp) of every 3-gram of any row, by the model of the rows where ``trusted`` holds.
-
-    All tables here are at most as large as the vocabulary allows, and their sums are partial per task.
-    A word never seen in trusted text gets its share of the uniform distribution, so logp is finite; with no
-    trusted row at all everything is uniform.
-    """
-    part = F.when(F.col(trusted), F.col("n")).otherwise(F.lit(0))
-    sums = _exploded(grams, trusted).groupBy("key").agg(F.sum(part).alias("c3"))
-    c = F.col("key").bitwiseAND(F.lit(255))
-    b = F.shiftright("key", 8).bitwiseAND(F.lit(255))
-    tri = written(sums.select("key", "c3", F.shiftright("key", 16).alias("a"), b.alias("b"), c.alias("c")))
-    seen = tri.filter("c3 > 0")
-    bi = seen.groupBy("b", "c").agg(F.count("*").alias("c2"))
-    uni = bi.groupBy("c").agg(F.count("*").alias("c1"))
-    d3, d2, d1 = _discounts(seen, "c3"), _discounts(bi, "c2"), _discounts(uni, "c1")
-    ones = uni.agg(F.sum("c1").alias("total"), F.count_if(F.col("c1") == 1).alias("n1"), F.count_if(F.col("c1") == 2).alias("n2"),
-                   F.count_if(F.col("c1") > 2).alias("n3")).first()
-    total = ones["total"] or 0
-    spare = (d1[0] * ones["n1"] + d1[1] * ones["n2"] + d1[2] * ones["n3"]) / total if total else 1.0
-    ctx3, ctx2 = _context(seen, ["a", "b"], "c3", d3, "3"), _context(bi, ["b"], "c2", d2, "2")
-    joined = tri.join(ctx3, ["a", "b"], "left").join(bi, ["b", "c"], "left").join(ctx2, ["b"], "left").join(uni, ["c"], "left")
-    nil = F.lit(0.0)
-    p1 = F.coalesce(_own("c1", d1) / max(total, 1), nil) + spare / VOCABULARY
-    p2 = F.coalesce(_own("c2", d2) / F.col("total_2"), nil) + F.coalesce("gamma_2", F.lit(1.0)) * p1
-    p3 = F.when((F.col("c3") > 0) & F.col("total_3").isNotNull(), _own("c3", d3) / F.col("total_3")).otherwise(nil) + F.coalesce("gamma_3", F.lit(1.0)) * p2
-    return written(joined.select("key", F.log(p3).alias("logp")))
-
-
-def score_perplexity(grams: DataFrame, logp: DataFrame, id_col: str, broadcast_rows: int = 1 << 20) -> DataFrame:
-    """(id, n_tokens, log_perplexity) of every row with tokens; ``id_col`` must be unique.
-
-    The probabilities are broadcast if they are counted to be few, else each is copied to ``SHARDS`` keys
-    and joined on (key, shard); both ways give the same sums up to rounding.
-    """
-    rows = _exploded(grams, id_col)
-    if logp.count() <= broadcast_rows:
-        joined = rows.join(F.broadcast(logp), "key")
-    else:
-        spread = logp.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
-        joined = rows.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(SHARDS)).cast("int")).join(spread, ["key", "shard"])
-    sums = joined.groupBy(id_col).agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("logp")).alias("_s"))
-    return sums.select(id_col, "n_tokens", (-F.col("_s") / F.col("n_tokens")).alias("log_perplexity"))
-
-
 def _folded(*hashes: np.ndarray) -> np.ndarray:
     """One key for a sequence of word hashes; sequences of different lengths have different keys."""
     total = np.full(len(hashes[-1]), len(hashes), np.uint64)

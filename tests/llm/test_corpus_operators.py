@@ -99,12 +99,11 @@ def test_rtree_finds_all_that_could_link():
         assert want <= set(tree.search(counts[q], int(sizes[q])).tolist())
 
 
-def _kneser_ney(texts):
-    """Plain dictionaries for the same model; returns the log probability of (a, b, c)."""
+def _kneser_ney(texts, vocabulary):
+    """Plain dictionaries for the same model over texts of numbered words; returns the probability of (a, b, c)."""
     tri = collections.Counter()
-    for t in texts:
-        tokens, owner = perplexity.shapes([t])
-        s = [0, 0, *tokens.tolist()]
+    for tokens in texts:
+        s = [0, 0, *tokens]
         tri.update(zip(s, s[1:], s[2:]))
     bi, uni = collections.Counter(), collections.Counter()
     for a, b, c in tri:
@@ -136,25 +135,11 @@ def _kneser_ney(texts):
 
         return p
 
-    p1 = level(uni, discounts(uni), lambda k: (), lambda k: 1 / perplexity.VOCABULARY)
+    p1 = level(uni, discounts(uni), lambda k: (), lambda k: 1 / vocabulary)
     p2 = level(bi, discounts(bi), lambda k: k[0], lambda k: p1(k[1]))
     return level(tri, discounts(tri), lambda k: k[:2], lambda k: p2(k[1:]))
 
 
-def test_kneser_ney_against_dictionaries(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    grams = perplexity.count_grams(docs.withColumn("trusted", F.col("doc_id") % 2 == 0), ["doc_id", "trusted"])
-    rows = docs.collect()
-    model = _kneser_ney([r.text.encode() for r in rows if r.doc_id % 2 == 0])
-    table = perplexity.log_probabilities(grams)
-    for r in table.collect():
-        assert math.isclose(r.logp, math.log(model((r.key >> 16, r.key >> 8 & 255, r.key & 255))), rel_tol=1e-9)
-    wide = perplexity.score_perplexity(grams, table, "doc_id")
-    joined = perplexity.score_perplexity(grams, table, "doc_id", broadcast_rows=0)
-    a, b = ({r.doc_id: r.log_perplexity for r in x.collect()} for x in (wide, joined))
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
-
-
 def test_quality_keeps_clean_and_rejects_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

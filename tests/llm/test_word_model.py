@@ -3,7 +3,6 @@
 import math
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from cairnmap.llm import perplexity
@@ -12,16 +11,13 @@ from tests.llm.test_corpus_operators import _kneser_ney
 SF = "/root/testdata/sf0.001"
 
 
-def test_word_model_against_dictionaries(spark, monkeypatch):
+def test_word_model_against_dictionaries(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     trusted = list({r.text: None for r in rows if r.doc_id % 2 == 0})
     ids: dict[str, int] = {}
     number = lambda t: [ids.setdefault(w, len(ids) + 1) for w in t.split()]
-    for t in trusted:
-        number(t)
-    monkeypatch.setattr(perplexity, "VOCABULARY", len(ids) + 1)
-    monkeypatch.setattr(perplexity, "shapes", lambda texts: (np.array(number(texts[0].decode())), None))
-    model = _kneser_ney([t.encode() for t in trusted])
+    numbered = [number(t) for t in trusted]
+    model = _kneser_ney(numbered, len(ids) + 1)
     table, unknown = perplexity.word_model(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3))
     asked = spark.createDataFrame([(i, False, r.text, len(r.text.split())) for i, r in enumerate(rows)], "_row long, trusted boolean, text string, n_tokens long")
     got = {r._row: r.log_perplexity for r in perplexity.score_words(asked.repartition(5), table, unknown).collect()}
