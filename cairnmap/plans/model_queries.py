@@ -43,7 +43,7 @@ def csv_rows(spark, sf):
 def stream_texts(spark, sf):
     """Documents arriving as a stream; a second run over the same files adds nothing."""
     folder = scratch_folder(spark, "texts")
-    docs = incremental.watch(spark, sf, I.table(spark, sf, "documents").schema, name_filter="documents.parquet")
+    docs = incremental.watch_table(spark, f"{sf}/documents.parquet", I.table(spark, sf, "documents").schema)
     name = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
     source = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source"))
     rows = docs.select(
@@ -62,7 +62,7 @@ def stream_texts(spark, sf):
 @query("stream_cells", over("bmu_", sql="SELECT item_id, node_index FROM bmu_"))
 def stream_cells(spark, sf):
     folder = scratch_folder(spark, "cells")
-    arriving = incremental.watch(spark, sf, I.table(spark, sf, "embeddings").schema, name_filter="embeddings.parquet")
+    arriving = incremental.watch_table(spark, f"{sf}/embeddings.parquet", I.table(spark, sf, "embeddings").schema)
     vectors = arriving.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     cells = incremental.cell_stream(vectors, I.codebook(spark, sf))
     incremental.run_available(incremental.first_of_key(cells, "item_id"), incremental.write_batches(f"{folder}/out"), f"{folder}/progress")

@@ -29,6 +29,15 @@ def watch(spark: SparkSession, folder: str, schema: StructType | str, fmt: str =
     return reader.load(folder)
 
 
+def watch_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of a table that is one file or a folder of files, to which more files may come.
+
+    A stream takes folders only; a pattern that fits just this path is followed to either.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return watch(spark, f"{folder}/[{name[0]}]{name[1:]}", schema)
+
+
 def text_stream(rows: DataFrame) -> DataFrame:
     """Embedding texts of a stream of rows (row_id, row_name, metadata, extracted_text)."""
     text = X.embedding_text(F.col("row_name"), F.col("metadata"), F.col("extracted_text"))

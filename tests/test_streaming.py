@@ -67,3 +67,15 @@ def test_keys_within_a_watermark(spark, tmp_path):
     stream = incremental.first_of_key(incremental.watch(spark, folder, "id long, at timestamp"), "id", "at", "1 hour")
     incremental.run_available(stream, incremental.write_batches(out), progress)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_a_table_of_one_file_or_a_folder_of_files(spark, tmp_path):
+    one, many, out = (str(tmp_path / n) for n in ("one", "many", "out"))
+    spark.range(3).coalesce(1).write.parquet(one)
+    (part,) = [f for f in (tmp_path / "one").iterdir() if f.suffix == ".parquet"]
+    part.rename(tmp_path / "file.parquet")
+    spark.range(5).repartition(2).write.parquet(f"{many}/table.parquet")
+    for number, path, n in ((0, str(tmp_path / "file.parquet"), 3), (1, f"{many}/table.parquet", 5)):
+        stream = incremental.watch_table(spark, path, "id long")
+        incremental.run_available(stream, incremental.write_batches(f"{out}{number}"), f"{out}{number}-progress")
+        assert spark.read.parquet(f"{out}{number}").count() == n
