@@ -53,7 +53,8 @@ def export_layout(runs: DataFrame, reductions: DataFrame) -> DataFrame:
     own = runs.join(reductions.select("reduction_id", "embedding_reference"), "reduction_id").select(
         "cluster_run_id", "embedding_reference"
     )
-    flat = reductions.filter("method = 'umap' and target_dimensions = 2").select(
-        F.col("reduction_id").alias("layout_id"), "embedding_reference"
+    # one row per embedding before the join, or it would pair all runs with all layouts of an embedding
+    newest = reductions.filter("method = 'umap' and target_dimensions = 2").groupBy("embedding_reference").agg(
+        F.max("reduction_id").alias("layout_id")
     )
-    return own.join(flat, "embedding_reference").groupBy("cluster_run_id").agg(F.max("layout_id").alias("layout_id"))
+    return own.join(newest, "embedding_reference").groupBy("cluster_run_id").agg(F.max("layout_id").alias("layout_id"))
