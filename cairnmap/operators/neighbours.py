@@ -7,7 +7,7 @@ Which way the work is laid out follows from sizes that are checked first:
   own best k per query and the rest is one small merge;
 * otherwise base and queries meet in cells around pivots (a Voronoi partition
   join, Lu et al. 2012). A query visits only the cells that can hold one of its
-  k nearest rows by the triangle inequality; cells are cut into bounded blocks.
+  k nearest rows by the triangle inequality; cells next to each other travel together.
 
 Equal distances go to the lower id, and among equal vectors only the first
 k + 1 ids can ever be answers, so copies beyond those are left out beforehand.
@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame, functions as F
 from cairnmap.functions import vectors as V
 from cairnmap.functions.partitions import widen
 from cairnmap.functions.ranking import top_per_group
+from cairnmap.operators import cells
+from cairnmap.operators.linkage import spatial_order
 from cairnmap.operators.sampling import seeded_pick
-from cairnmap.session import checkpointed
+from cairnmap.session import written
 
 # What one side may have to be sent to every task; the driver holds it several times over meanwhile.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 8192
+# Rows of either side whose products are held at once.
+QUERY_ROWS, BASE_ROWS = 256, 4096
 MAX_PIVOTS = 4096
 
 _RESULT = "query_id long, neighbor_id long, distance double"
@@ -55,26 +59,50 @@ def collect_matrix(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray
 
 
 def nearest_rows(q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, k: int, skip: np.ndarray | None = None):
-    """(query row, base row, distance) of the k nearest base rows, ties by id.
+    """(query row, base row, distance) of the k nearest base rows, ties by id; ``skip`` is a base id that each query leaves out.
 
-    The matrix product only picks candidates: everything within its rounding
-    error of the k-th distance is measured again by plain differences.
+    The matrix product only picks candidates: everything within its rounding error of the k-th distance is measured again by plain
+    differences. Products are taken by bounded blocks, and of each only what may still be among the k nearest is kept.
     """
-    rows, cols, dists = [], [], []
     if len(q) == 0 or len(b) == 0:
         return np.array([], int), np.array([], int), np.array([], float)
     b_sq = np.einsum("ij,ij->i", b, b)
-    step = max(1, 8_000_000 // len(b))
-    for start in range(0, len(q), step):
-        part = q[start:start + step]
+    error = 1e-12 * b.shape[1]
+    if skip is not None:
+        order = np.argsort(b_ids, kind="stable")
+        left, right = np.searchsorted(b_ids[order], skip, "left"), np.searchsorted(b_ids[order], skip, "right")
+        own_row = np.repeat(np.arange(len(q)), right - left)
+        own_col = order[np.arange(len(own_row)) - np.repeat(np.cumsum(right - left) - right, right - left)]
+    rows, cols, dists = [], [], []
+    for start in range(0, len(q), QUERY_ROWS):
+        part = q[start:start + QUERY_ROWS]
         q_sq = np.einsum("ij,ij->i", part, part)
-        near = q_sq[:, None] + b_sq[None, :] - 2.0 * (part @ b.T)
+        slack = error * (q_sq + b_sq.max()) + 1e-300
+        # squared distances less that of the query from the origin
+        bound = np.full(len(part), np.inf)
         if skip is not None:
-            near[b_ids[None, :] == skip[start:start + step, None]] = np.inf
-        width = min(k, len(b))
-        kth = np.partition(near, width - 1, axis=1)[:, width - 1]
-        slack = 1e-12 * b.shape[1] * (q_sq + b_sq.max()) + 1e-300
-        r, c = np.nonzero((near <= (kth + slack)[:, None]) & np.isfinite(near))
+            at = slice(*np.searchsorted(own_row, [start, start + len(part)]))
+            row, col = own_row[at] - start, own_col[at]
+        r, c, near, fresh = np.array([], int), np.array([], int), np.array([], float), 0
+        for first in range(0, len(b), BASE_ROWS):
+            block = part @ (-2.0 * b[first:first + BASE_ROWS]).T
+            block += b_sq[first:first + BASE_ROWS]
+            if skip is not None:
+                mine = (col >= first) & (col < first + block.shape[1])
+                block[row[mine], col[mine] - first] = np.inf
+            if not first and block.shape[1] > k:
+                bound = np.partition(block, k - 1, axis=1)[:, k - 1] + slack
+            x, y = np.nonzero(block <= bound[:, None])
+            r, c, near = np.concatenate([r, x]), np.concatenate([c, y + first]), np.concatenate([near, block[x, y]])
+            fresh += len(x)
+            if fresh > k * len(part) or first + BASE_ROWS >= len(b):
+                order = np.lexsort((near, r))
+                r, c, near, fresh = r[order], c[order], near[order], 0
+                ends = np.searchsorted(r, np.arange(len(part)), "left") + k - 1
+                full = (ends < len(r)) & (r[np.minimum(ends, len(r) - 1)] == np.arange(len(part))) if len(r) else np.zeros(len(part), bool)
+                bound[full] = np.minimum(bound[full], near[ends[full]] + slack[full])
+                keep = (near <= bound[r]) & np.isfinite(near)
+                r, c, near = r[keep], c[keep], near[keep]
         gap = part[r] - b[c]
         d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         order = np.lexsort((b_ids[c], d, r))
@@ -159,15 +187,17 @@ def _to_cells(df: DataFrame, pivots) -> DataFrame:
     return df.mapInPandas(assign, "_id long, _vector array<double>, _cell int, _gap double")
 
 
-def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows: int, region_rows: int | None = None) -> DataFrame:
     spark = q.sparkSession
+    b = written(b)
     n_base = b.count()
     n_pivots = min(MAX_PIVOTS, max(2, math.ceil(n_base / block_rows)))
     _, centres = collect_matrix(seeded_pick(b, n_base, n_pivots, "_id"), "_id", "_vector")
     centres = np.unique(centres, axis=0)
+    centres = centres[spatial_order(centres, 1)]
     pivots = spark.sparkContext.broadcast(centres)
     # Read several times below, and dear to compute.
-    placed = checkpointed(_to_cells(b, pivots))
+    placed = written(_to_cells(b, pivots))
 
     # Bounded by the pivot count: radius, row count and the first k distances per cell.
     want = k + 1 if exclude_self else k
@@ -178,9 +208,7 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
     n_cells = len(centres)
     count, far = np.zeros(n_cells, np.int64), np.full(n_cells, -np.inf)
     count[shape["_cell"]], far[shape["_cell"]] = shape["n"], shape["far"]
-    between = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(-1), 0.0)) if n_cells <= 512 else np.vstack(
-        [np.sqrt(((centres - c) ** 2).sum(-1)) for c in centres]
-    )
+    between = np.vstack([np.sqrt(((centres - c) ** 2).sum(-1)) for c in centres])
     # From a row at distance g of pivot i, k rows lie within g + reach[i]; a few pivots at a time.
     at, gaps = close["_cell"].to_numpy(int), close["_gap"].to_numpy()
     reach = np.full(n_cells, np.inf)
@@ -189,59 +217,47 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
         for start in range(0, n_cells, step):
             known = between[start:start + step][:, at] + gaps[None, :]
             reach[start:start + step] = np.partition(known, want - 1, axis=1)[:, want - 1]
-    blocks = np.maximum(1, np.ceil(count / block_rows)).astype(np.int64)
-    plan = spark.sparkContext.broadcast((count, far, reach, blocks))
+    rows = region_rows or cells.tile_rows(centres.shape[1], block_rows)
+    regions = cells.packed(count, rows)
+    plan = spark.sparkContext.broadcast((count, far, reach, regions))
+
+    def distances(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((v ** 2).sum(1)[:, None] + (points ** 2).sum(1)[None, :] - 2 * v @ points.T, 0.0))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, radius, within, n_blocks = plan.value
+        n, radius, within, groups = plan.value
         points = pivots.value
         for batch in batches:
-            v = matrix(batch["_vector"])
-            for start in range(0, len(batch), 1024):
-                part = v[start:start + 1024]
-                d = np.sqrt(np.maximum(
-                    (part ** 2).sum(1)[:, None] + (points ** 2).sum(1)[None, :] - 2 * part @ points.T, 0.0
-                ))
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start:start + 512]
+                d = distances(matrix(part["_vector"]), points)
                 home = d.argmin(1)
                 bound = d[np.arange(len(part)), home] + within[home]
-                slack = 1e-6 * (1.0 + bound)
-                r, c = np.nonzero((n > 0)[None, :] & (d - radius[None, :] <= (bound + slack)[:, None]))
-                copies = n_blocks[c]
-                r, c = np.repeat(r, copies), np.repeat(c, copies)
-                block = np.arange(len(c)) - np.repeat(np.cumsum(copies) - copies, copies)
-                rows = batch.iloc[start:start + 1024]
-                yield pd.DataFrame({
-                    "_id": rows["_id"].to_numpy()[r], "_vector": rows["_vector"].to_numpy()[r],
-                    "_cell": c.astype("int32"), "_block": block.astype("int32"),
-                })
-
-    visits = q.mapInPandas(visit, "_id long, _vector array<double>, _cell int, _block int")
-    # Queries of one block are cut into bounded chunks too; the block goes to each chunk.
-    demand = visits.groupBy("_cell", "_block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_chunks"))
-    sliced = visits.join(demand, ["_cell", "_block"]).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int")
-    )
-    chunk_list = demand.select(
-        F.col("_cell").alias("_cell"), F.col("_block").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"),
-    )
-    cell_blocks = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("_cell") + 1)
-    stored = (
-        placed.withColumn("_block", F.pmod(F.xxhash64("_id"), cell_blocks).cast("int"))
-        .join(chunk_list, ["_cell", "_block"])
-        .drop("_gap")
-    )
-    tile = ["_cell", "_block", "_chunk"]
+                bound += 1e-6 * (1.0 + bound)
+                asked = (n > 0)[None, :] & (d - radius[None, :] <= bound[:, None])
+                yield pd.DataFrame({"_id": part["_id"], "_vector": part["_vector"], "_bound": bound, "_home": home.astype("int32"), "_regions": groups.hit(asked)})
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    asking = q.mapInPandas(visit, "_id long, _vector array<double>, _bound double, _home int, _regions array<int>")
+    stored = placed.select("_id", "_vector", "_cell", regions.of(F.col("_cell"), F.col("_id")).alias("_region"))
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _EMPTY
-        return _answers(
-            left["_id"].to_numpy(np.int64), matrix(left["_vector"]),
-            right["_id"].to_numpy(np.int64), matrix(right["_vector"]), k, exclude_self,
-        )
-
-    return sliced.groupBy(*tile).cogroup(stored.groupBy(*tile)).applyInPandas(meet, _RESULT)
+        _, radius, *_ = plan.value
+        # rows that ask from one cell together, stored ones by cell: few of them need all cells
+        left, right = left.sort_values(["_home", "_id"]), right.sort_values(["_cell", "_id"])
+        held, which = np.unique(right["_cell"].to_numpy(), return_inverse=True)
+        b_ids, base, ids, v, bound = right["_id"].to_numpy(np.int64), matrix(right["_vector"]), left["_id"].to_numpy(np.int64), matrix(left["_vector"]), left["_bound"].to_numpy(float)
+        points, out = pivots.value[held], [_EMPTY]
+        for start in range(0, len(ids), QUERY_ROWS):
+            some = slice(start, start + QUERY_ROWS)
+            needed = (distances(v[some], points) - radius[held][None, :] <= bound[some, None]).any(0)[which]
+            b_some, x = (b_ids, base) if needed.all() else (b_ids[needed], base[needed])
+            r, c, d = nearest_rows(v[some], b_some, x, k, ids[some] if exclude_self else None)
+            out.append(pd.DataFrame({"query_id": ids[some][r], "neighbor_id": b_some[c], "distance": d}))
+        return pd.concat(out)
+
+    return cells.meet(asking, stored, "_id", n_cells, rows, answer, _RESULT)
 
 
 def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length: float, tables: int = 4,

@@ -90,3 +90,37 @@ def test_descent_of_few_rows(spark, points):
     assert descent.nn_descent(points([[1.0, 2.0]]), 3).lists.count() == 0
     few = descent.nn_descent(points([[0.0], [1.0], [5.0]]), 5)
     assert few.recall == 1.0 and {(r.query_id, r.neighbor_id, r["rank"]) for r in few.lists.collect()} == {(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 1, 1), (2, 0, 2)}
+
+
+@pytest.mark.parametrize("region_rows", [60, 150])
+def test_cells_that_travel_in_regions(spark, points, data, region_rows):
+    """A query goes to a region once, whatever number of its cells it visits."""
+    from cairnmap.operators import cells, neighbours
+    from pyspark.sql import functions as F
+
+    asked = []
+    whole = cells.meet
+
+    def watched(asking, *rest):
+        asked.append(asking)
+        return whole(asking, *rest)
+
+    q = points(data).select(F.col("item_id").alias("_id"), F.col("vector").alias("_vector"))
+    cells.meet = watched
+    try:
+        found = neighbours._ranked(neighbours._in_cells(q, neighbours._first_copies(q, 4), 4, True, 20, region_rows), 4)
+    finally:
+        cells.meet = whole
+    assert rows(found) == brute(data, 4, True)
+    assert asked[0].count() == len(data)
+    assert all(len(r._regions) == len(set(r._regions)) <= 400 // region_rows + 20 for r in asked[0].collect())
+
+
+def test_groups_of_cells():
+    from cairnmap.operators.cells import packed
+
+    groups = packed(np.array([3, 0, 4, 25, 2, 9, 1, 0]), 10)
+    assert groups.first.tolist() == [0, 0, 0, 1, 4, 5, 5, 5] and groups.parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] and groups.n == 6
+    marks = np.zeros((2, 8), bool)
+    marks[0, [0, 3]] = marks[1, 7] = True
+    assert [x.tolist() for x in groups.hit(marks)] == [[0, 1, 2, 3], [5]]
