@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from cairnmap.functions import vectors as V
@@ -261,16 +261,48 @@ def _in_cells(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, block_rows
 
 
 def approximate_knn(queries: DataFrame, base: DataFrame, k: int, bucket_length: float, tables: int = 4,
-                    radius: float = math.inf, id_col: str = "item_id", vec_col: str = "vector", seed: int = 42, exclude_self: bool = False) -> DataFrame:
-    """Neighbours that share a random-projection bucket; misses some, and tells not how many. ``descent.nn_descent`` measures its recall."""
-    vec = lambda df: df.select(F.col(id_col).alias("id"), array_to_vector(V.as_doubles(F.col(vec_col))).alias("features"))
+                    radius: float = math.inf, id_col: str = "item_id", vec_col: str = "vector", seed: int = 42, exclude_self: bool = False,
+                    tile_rows: int | None = None) -> DataFrame:
+    """Neighbours that share a random-projection bucket; misses some, and tells not how many. ``descent.nn_descent`` measures its recall.
+
+    Pairs are not listed: the rows of a bucket meet in blocks of bounded size, which return k rows per query.
+    """
+    rows = lambda df: df.select(F.col(id_col).cast("long").alias("_id"), V.as_doubles(F.col(vec_col)).alias("_vector")).distinct()
+    vec = lambda df: df.withColumn("features", array_to_vector("_vector"))
     model = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(vec(base))
-    pairs = model.approxSimilarityJoin(vec(queries), vec(base), radius, "distance").select(
-        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("neighbor_id"), "distance"
-    )
-    return _ranked(pairs.filter("query_id <> neighbor_id") if exclude_self else pairs, k)
+    ).fit(vec(rows(base)))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        found = model.transform(vec(df)).select("_id", "_vector", F.posexplode("hashes").alias("_table", "_hash"))
+        return written(found.select("_id", "_vector", "_table", vector_to_array("_hash")[0].alias("_bucket")))
+
+    q, b = hashed(rows(queries)), hashed(_first_copies(rows(base), k))
+    n, width = b.agg(F.count("*"), F.max(F.size("_vector"))).first()
+    per_tile = tile_rows or cells.tile_rows(width or 1)
+    bucket = ["_table", "_bucket"]
+    cut = lambda df, name: df.groupBy(*bucket).agg(F.ceil(F.count("*") / per_tile).cast("int").alias(name))
+    own, place = F.xxhash64(*bucket), F.pmod(F.xxhash64(*bucket), F.lit(-(-n // per_tile) or 1))
+    # buckets that fit a task share one
+    plan = written(cut(q, "_chunks").join(cut(b, "_blocks"), bucket).withColumn("_tile", F.when(F.col("_chunks") * F.col("_blocks") > 1, own).otherwise(place)))
+    dealt = lambda name: F.pmod(F.xxhash64("_id"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    asking = q.join(plan, bucket).withColumn("_chunk", dealt("_chunks")).withColumn("_block", every("_blocks")).drop("_chunks", "_blocks")
+    stored = b.join(plan, bucket).withColumn("_block", dealt("_blocks")).withColumn("_chunk", every("_chunks")).drop("_chunks", "_blocks")
+    # both sides have the plan's columns, so one gets new ones
+    stored = stored.select(*[F.col(c).alias(c) for c in stored.columns])
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, at = [_EMPTY], right.groupby(bucket).indices
+        for key, mine in left.groupby(bucket).indices.items():
+            if key in at:
+                x, y = left.iloc[mine], right.iloc[at[key]]
+                out.append(_answers(x["_id"].to_numpy(np.int64), matrix(x["_vector"]), y["_id"].to_numpy(np.int64), matrix(y["_vector"]), k, exclude_self))
+        return pd.concat(out)
+
+    tile = ["_tile", "_chunk", "_block"]
+    found = asking.groupBy(*tile).cogroup(stored.groupBy(*tile)).applyInPandas(answer, _RESULT)
+    return _ranked(found.filter(F.col("distance") < radius).distinct(), k)
 
 
 def core_distances(points: DataFrame, min_samples: int, **options) -> DataFrame:

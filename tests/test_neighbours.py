@@ -124,3 +124,24 @@ def test_groups_of_cells():
     marks = np.zeros((2, 8), bool)
     marks[0, [0, 3]] = marks[1, 7] = True
     assert [x.tolist() for x in groups.hit(marks)] == [[0, 1, 2, 3], [5]]
+
+
+@pytest.mark.parametrize("tile_rows", [None, 30])
+def test_buckets_meet_in_blocks(spark, points, data, tile_rows):
+    """The same neighbours as a join of all pairs of a bucket, with copies and repeated rows, and no list of pairs."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from cairnmap.operators.neighbours import approximate_knn
+
+    df = points(data)
+    found = approximate_knn(df.union(df.limit(20)), df.union(df.limit(20)), 4, 0.7, exclude_self=True, tile_rows=tile_rows)
+    vec = df.withColumn("features", array_to_vector("vector"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.7, numHashTables=4, seed=42).fit(vec)
+    pairs = model.approxSimilarityJoin(vec, vec, float("inf"), "d").selectExpr("datasetA.item_id a", "datasetB.item_id b").filter("a <> b").toPandas()
+    want = {}
+    for i in range(len(data)):
+        others = np.sort(pairs["b"][pairs["a"] == i].to_numpy())
+        d = np.sqrt(((data[others] - data[i]) ** 2).sum(-1))
+        for r, j in enumerate(np.lexsort((others, d))[:4]):
+            want[i, r + 1] = (int(others[j]), round(float(d[j]), 9))
+    assert rows(found) == want
