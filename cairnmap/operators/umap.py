@@ -155,10 +155,12 @@ def _move(y, rows, targets, repel_from, alpha, a, b, rng, pull: float, attempts:
 
 
 def _advance(pool, begin: int, end: int, epochs: int, a: float, b: float, seed: int):
-    """Some items (head, part), a row per edge with the item's place (y) and that of its far end (at), through the epochs."""
+    """Some items (head, part) through the epochs: a row per edge with the place of its far end (at), and a row per item and part with its own (y)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["head", "part", "tail"])
+    def run(edges: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        group = edges.merge(places[["head", "part", "y"]], on=["head", "part"]).sort_values(["head", "part", "tail"])
+        if group.empty:
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "y": []})
         heads, part = group["head"].to_numpy(np.int64), group["part"].to_numpy()
         code = np.concatenate([[0], np.cumsum((heads[1:] != heads[:-1]) | (part[1:] != part[:-1]))])
         first = np.searchsorted(code, np.arange(code[-1] + 1))
@@ -176,7 +178,8 @@ def _layout(start: DataFrame, graph: DataFrame, n: int, a: float, b: float, epoc
     """(id, y) after all epochs, from (id, y) and the undirected graph (item_id, other_id, weight).
 
     A round joins every directed edge with the position its far end had after the last round and moves each near end through some
-    epochs against those; a task holds a bounded number of edges. Random others come from a pool of positions drawn anew each round by a
+    epochs against those; a task holds a bounded number of edges. Positions are moved by shuffles, as a broadcast would pass all of them through
+    the driver in every round. Random others come from a pool of positions drawn anew each round by a
     hash of the ids (all of them, if that many are few); which one repels in an epoch is a hash of seed, epoch, item and edge. A vertex
     with more than ``hub_edges`` edges is moved in parts, each against a hashed share of them, and takes the mean of their places.
     """
@@ -186,7 +189,7 @@ def _layout(start: DataFrame, graph: DataFrame, n: int, a: float, b: float, epoc
     edges = graph.select(F.explode(ends).alias("e"), (F.col("weight") / F.lit(top)).alias("w")).select("e.*", "w")
     parts = edges.groupBy("head").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("parts"))
     edges = edges.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("tail"), F.col("parts")).cast("int"))
-    edges = written(edges)
+    edges, parts = written(edges), written(parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("head", "part"))
     groups = max(spark.sparkContext.defaultParallelism if n > group_edges // 64 else 1, -(-edges.count() // group_edges))
     dims = len(start.first()["y"])
     state = start
@@ -196,10 +199,11 @@ def _layout(start: DataFrame, graph: DataFrame, n: int, a: float, b: float, epoc
         rows = drawn.toPandas().sort_values("id")  # at most pool_rows
         pool = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), matrix(rows["y"])))
 
-        far = state.select(F.col("id").alias("tail"), F.col("y").alias("at"))
-        near = state.select(F.col("id").alias("head"), "y")
-        met = edges.join(far, "tail").join(near, "head").withColumn("_group", F.pmod(F.xxhash64("head", "part"), F.lit(groups)))
-        moved = met.groupBy("_group").applyInPandas(_advance(pool, begin, min(begin + _EPOCHS_PER_ROUND, epochs), epochs, a, b, seed), "id long, y array<double>")
+        far = state.select(F.col("id").alias("tail"), F.col("y").alias("at")).hint("shuffle_hash")
+        near = state.select(F.col("id").alias("head"), "y").hint("shuffle_hash")
+        group = F.pmod(F.xxhash64("head", "part"), F.lit(groups))
+        met, own = edges.join(far, "tail").withColumn("_group", group), parts.join(near, "head").withColumn("_group", group)
+        moved = met.groupBy("_group").cogroup(own.groupBy("_group")).applyInPandas(_advance(pool, begin, min(begin + _EPOCHS_PER_ROUND, epochs), epochs, a, b, seed), "id long, y array<double>")
         # the mean of a hub's parts; others are one part
         axes = [F.avg(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(dims)]
         joined = moved.groupBy("id").agg(*axes).select("id", F.array(*[f"y{i}" for i in range(dims)]).alias("y"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from cairnmap.operators import pca, som, spectral, umap
+from cairnmap.session import written
 
 
 def stacked(df, column="coordinates"):
@@ -159,3 +160,12 @@ def test_cells_and_u_matrix(spark, points, blobs):
     assert placed.min() >= 0 and placed[:, 0].max() <= 2 and placed[:, 1].max() <= 5
     distances = [r.umatrix_dist for r in som.u_matrix(book).collect()]
     assert len(distances) == 18 and max(distances) == 1 and min(distances) >= 0
+
+
+def test_positions_do_not_pass_the_driver(points, blobs, monkeypatch):
+    x, _ = blobs
+    plans = []
+    monkeypatch.setattr(umap, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1])
+    umap.umap(points(x), 2, epochs=20).count()
+    rounds = [p for p in plans if "GroupsInPandas" in p]
+    assert rounds and not any("Broadcast" in p for p in rounds)
