@@ -7,11 +7,17 @@ all of them are candidates; only those are tested for the words themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairnmap.operators.views import search_match
 
 GRAM, BUCKETS = 3, 64
+# Bytes of texts whose grams a task lists at once; a longer text is taken alone.
+PIECE_BYTES = 1 << 21
 
 
 def haystack(name: Column, text: Column) -> Column:
@@ -23,20 +29,38 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, item_id): the distinct grams of each (item_id, text in UTF-8), some millions of bytes at a time."""
+    for batch in batches:
+        texts, first, held = batch.column("text").to_pylist(), 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held < PIECE_BYTES and i + 1 < len(texts):
+                continue
+            points = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts[first:i + 1]]
+            c, owner = np.concatenate(points).astype(np.int64), np.repeat(np.arange(len(points)), [len(p) for p in points])
+            # three code points of 21 bits
+            whole = owner[GRAM - 1:] == owner[:len(owner) - GRAM + 1] if len(owner) >= GRAM else np.zeros(0, bool)
+            codes, which = np.unique(((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[whole] if len(whole) else np.zeros(0, np.int64), return_inverse=True)
+            place = np.unique(owner[:len(whole)][whole] * max(len(codes), 1) + which)
+            names = pa.array(["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in codes.tolist()], pa.string())
+            items = batch.column("item_id").slice(first, i + 1 - first)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(place % max(len(codes), 1))), items.take(pa.array(place // max(len(codes), 1)))], ["gram", "item_id"])
+            first, held = i + 1, 0
+
+
 def postings(items: DataFrame) -> DataFrame:
     """(gram, item_id, bucket): the distinct grams of each item's (item_id, name, text); a text below three characters has none."""
-    held = items.select("item_id", F.split(haystack(F.col("name"), F.col("text")), "").alias("c"))
-    # from an array of characters, as a place in a string is found by counting from its start
-    starts = F.slice("c", 1, F.greatest(F.size("c") - (GRAM - 1), F.lit(0)))
-    grams = F.array_distinct(F.transform(starts, lambda c, i: F.concat(c, *[F.get("c", i + j) for j in range(1, GRAM)])))
-    return held.select("item_id", F.explode(grams).alias("gram")).select("gram", "item_id", _bucket(F.col("gram")).alias("bucket"))
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), haystack(F.col("name"), F.col("text")).cast("binary").alias("text"))
+    found = held.mapInArrow(_grams, "gram string, item_id long")
+    return found.select("gram", "item_id", _bucket(F.col("gram")).alias("bucket"))
 
 
 def add_to_index(path: str, items: DataFrame) -> None:
     """Append the items' postings; an item belongs to the index once."""
     found = postings(items)
-    # a frequent gram's rows are dealt by range of (gram, item), so they may fill several files
-    found.repartitionByRange("bucket", "gram", "item_id").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(path)
+    # every task sorts what it read and adds a file to each bucket: postings are many times their texts, and dealing them out would move all of them
+    found.sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def query_grams(query: str) -> list[str]:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,26 @@ def test_texts_below_a_gram_have_no_postings(spark):
     rows = [(1, None, None), (2, "", "ab"), (3, "a", ""), (4, None, "abc")]
     found = search_index.postings(spark.createDataFrame(rows, "item_id long, name string, text string")).collect()
     assert {(r.item_id, r.gram) for r in found} == {(2, " ab"), (4, " ab"), (4, "abc")}
+
+
+def test_postings_are_not_dealt_out(spark, tmp_path):
+    texts = spark.createDataFrame([(i, None, "abcdef") for i in range(40)], "item_id long, name string, text string")
+    context = spark.sparkContext
+    context.setJobGroup("index", "index")
+    search_index.add_to_index(str(tmp_path / "grams"), texts)
+    context.setJobGroup("other", "other")
+    jobs = context.statusTracker().getJobIdsForGroup("index")
+    assert len(jobs) == 1 and len(context.statusTracker().getJobInfo(jobs[0]).stageIds) == 1
+
+
+def test_postings_do_not_depend_on_pieces(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(None if i == 3 else i, None, rng.choice([None, "", "".join(rng.choice("abÉß🙂 \n\u0000") for _ in range(rng.randrange(40)))])) for i in range(120)]
+    wanted = {(i, low[j:j + 3]) for i, _, t in rows for low in [(" " + (t or "")).lower()] for j in range(len(low) - 2)}
+    for size in (1 << 21, 50):
+        monkeypatch.setattr(search_index, "PIECE_BYTES", size)
+        table = pa.table({"item_id": pa.array([r[0] for r in rows], pa.int64()), "text": [(" " + (r[2] or "")).lower().encode() for r in rows]})
+        found = [(i, g) for b in search_index._grams(iter(table.to_batches())) for g, i in zip(b["gram"].to_pylist(), b["item_id"].to_pylist())]
+        assert len(found) == len(wanted) and set(found) == wanted
+    stored = search_index.postings(spark.createDataFrame(rows, "item_id long, name string, text string")).collect()
+    assert {(r.item_id, r.gram) for r in stored} == wanted
