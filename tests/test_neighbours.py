@@ -92,6 +92,36 @@ def test_descent_of_few_rows(spark, points):
     assert few.recall == 1.0 and {(r.query_id, r.neighbor_id, r["rank"]) for r in few.lists.collect()} == {(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2), (2, 1, 1), (2, 0, 2)}
 
 
+def test_descent_sends_a_member_once_to_each_task(spark, points, monkeypatch):
+    """Rows next to each other share members, so far fewer vectors are sent than there are entries of lists; small tasks and few held pairs change nothing."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(12, 1, 8)) * 20 + rng.normal(size=(12, 50, 8))).reshape(-1, 8)
+    sent = spark.sparkContext.accumulator(0)
+    entries = spark.sparkContext.accumulator(0)
+    whole = descent._introduced
+
+    def counted(k):
+        run = whole(k)
+
+        def watch(table):
+            sent.add(table.num_rows)
+            entries.add(len(table.column("rows").combine_chunks().flatten()))
+            return run(table)
+
+        return watch
+
+    lists = lambda f: f.lists.orderBy("query_id", "rank").toPandas()
+    monkeypatch.setattr(descent, "_introduced", counted)
+    monkeypatch.setattr(descent, "CELL_ROWS", 50)
+    found = descent.nn_descent(points(x), 5, sample_rows=600)
+    want = lists(found)
+    assert found.recall >= 0.95 and 0 < sent.value * 4 < entries.value
+    monkeypatch.setattr(descent, "_introduced", whole)
+    monkeypatch.setattr(descent, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(descent, "HELD_PAIRS", 100)
+    assert lists(descent.nn_descent(points(x), 5, sample_rows=600)).equals(want)
+
+
 @pytest.mark.parametrize("region_rows", [60, 150])
 def test_cells_that_travel_in_regions(spark, points, data, region_rows):
     """A query goes to a region once, whatever number of its cells it visits."""
