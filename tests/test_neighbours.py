@@ -122,6 +122,17 @@ def test_descent_sends_a_member_once_to_each_task(spark, points, monkeypatch):
     assert lists(descent.nn_descent(points(x), 5, sample_rows=600)).equals(want)
 
 
+def test_descent_of_repeated_rows(points):
+    """A repeated row is no neighbour of its copy, and nobody lists it twice."""
+    x = np.random.default_rng(12).normal(size=(60, 4))
+    found = descent.nn_descent(points(np.concatenate([x, x[:20]]), ids=[*range(60), *range(20)]), 5, sample_rows=60)
+    rows = found.lists.toPandas()
+    assert (rows["query_id"] != rows["neighbor_id"]).all() and not rows.duplicated(["query_id", "neighbor_id"]).any()
+    assert (rows.groupby("query_id").size() == 5).all() and rows["query_id"].nunique() == 60
+    gap = x[rows["query_id"]] - x[rows["neighbor_id"]]
+    assert np.allclose(np.sqrt((gap * gap).sum(1)), rows["distance"])
+
+
 @pytest.mark.parametrize("region_rows", [60, 150])
 def test_cells_that_travel_in_regions(spark, points, data, region_rows):
     """A query goes to a region once, whatever number of its cells it visits."""
