@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -186,3 +188,21 @@ def test_buckets_meet_in_blocks(spark, points, data, tile_rows):
         for r, j in enumerate(np.lexsort((others, d))[:4]):
             want[i, r + 1] = (int(others[j]), round(float(d[j]), 9))
     assert rows(found) == want
+
+
+@pytest.mark.parametrize("copies", [1, 15])
+def test_products_are_held_in_bounded_blocks(copies):
+    """What a task needs besides both sides doesn't grow with the base, neither with ties; all distances at once would be 960 MB."""
+    from cairnmap.operators.neighbours import nearest_rows
+
+    rng = np.random.default_rng(5)
+    b = np.repeat(rng.normal(size=(60_000 // copies, 4)), copies, axis=0)
+    q, ids = b[:: len(b) // 2000][:2000].copy(), np.arange(len(b))
+    tracemalloc.start()
+    try:
+        r, c, d = nearest_rows(q, ids, b, 14, ids[:: len(b) // 2000][:2000])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(r) == 14 * len(q) and (d[r == 7][:14] == 0).all() == (copies > 1)
+    assert peak < 48 << 20
