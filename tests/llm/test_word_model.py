@@ -46,3 +46,34 @@ def test_words_that_are_none_are_rejected(spark):
     junk = spark.createDataFrame([(10**6 + r.doc_id, "".join(map(letter, r.text)), r.lang) for r in clean], docs.schema)
     got = perplexity.classify_quality(docs.union(junk), labels, ["doc_id"]).filter(F.col("doc_id") >= 10**6).agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert got < 0.05
+
+
+def test_parts_passes_and_blocks_give_the_same_figures(spark, monkeypatch):
+    """Texts dealt in several passes, with frequent words in blocks, are judged as by one part."""
+    rng = random.Random(5)
+    words = ["the", "of", *[f"w{i}" for i in range(60)]]
+    texts = [" ".join(rng.choices(words, [40, 20, *[1] * 60], k=rng.randint(1, 40))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, *texts[:9], "", None])], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(155)], "doc_id long, quality int")
+    judge = lambda: {r.doc_id: (r.n_tokens, r.log_perplexity, r.threshold, r.kept) for r in perplexity.classify_quality(docs, labels, ["doc_id"]).collect()}
+    whole = judge()
+    for name, value in {"PASSES": 3, "PASS_TOKENS": 100, "PART_TOKENS": 60, "BROADCAST_IDS": 0}.items():
+        monkeypatch.setattr(perplexity, name, value)
+    layout = perplexity.word_model(docs.join(labels.filter("quality = 1"), "doc_id").select("text"))[0]._layout
+    assert layout.passes == 3 and len(layout.hot) >= 2 and layout.blocks.max() > 2
+    dealt = judge()
+    assert dealt.keys() == whole.keys() and len(dealt) == 161
+    for doc_id, want in whole.items():
+        got = dealt[doc_id]
+        assert got[0] == want[0] and got[3] == want[3], doc_id
+        assert all((x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9)) for x, y in zip(got[1:3], want[1:3])), doc_id
+
+
+def test_shuffled_grams_are_small(spark):
+    """A pass over the 3-grams of repeated prose packs far fewer bytes than three hashes a token."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(100)
+    source = rows.select(F.xxhash64("text").alias("_own"), F.col("text").cast("binary").alias("text")).coalesce(1)
+    model, _ = perplexity.word_model(rows)
+    dealt = source.mapInArrow(perplexity._dealt(model._layout, 1, 0, 1, "_own", None), perplexity._BLOB)
+    size, tokens = dealt.agg(F.sum(F.length("data"))).first()[0], rows.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
+    assert size < 20 * tokens
